@@ -13,6 +13,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .quality_counts import NAMES, counts
@@ -24,7 +25,7 @@ FENCES = {"word_length": (20.0, 4000), "symbol_share": (3.0, 50), "line_share":
 LEAST_GROUP = 100
 
 
-@F.arrow_udf(", ".join(f"{n} long" for n in NAMES))
+@F.arrow_udf(T.StructType([T.StructField(n, T.LongType()) for n in NAMES]))
 def _counts(texts: pa.Array) -> pa.Array:
     rows = [counts(t.as_py()) for t in texts]
     return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(len(NAMES))], NAMES)
