@@ -7,6 +7,7 @@ temporary folder is used only where that setting is absent (tests).
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -43,3 +44,9 @@ def removed(spark: SparkSession, *paths: str) -> None:
     for path in paths:
         at = jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def released(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop shuffle files that no live plan reads; they go when the driver's garbage does."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
