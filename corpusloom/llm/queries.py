@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+from .additive import op2_additive
+from .hmm import op10_hmm
+from .htmltext import op9_html
+from .lines import op1_lines
 from .mixing import op4_mixing
 from .packing import op3_packing
+from .passages import op8_passages
 from .quality import op7_quality
 from .simhash import op6_simhash
+from .store import op5_store
+
+_ALL = (op1_lines, op2_additive, op3_packing, op4_mixing, op5_store, op6_simhash, op7_quality, op8_passages, op9_html, op10_hmm)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_packing, op4_mixing, op6_simhash, op7_quality)}
+    return {f.__name__: f for f in _ALL}
 
 
 def oracle_sql() -> dict[str, str]:
