@@ -58,11 +58,12 @@ def prompt_section(terms: DataFrame, lang: str) -> DataFrame:
 def review(terms: DataFrame, languages: DataFrame) -> DataFrame:
     """One row ``report``: the glossary in Markdown."""
 
-    def entries(m, text):
-        return F.array_join(F.transform(F.map_entries(m), lambda e: F.concat(F.lit("  - `"), e["key"], F.lit("`: "), text(e["value"]), F.lit("\n"))), "")
+    def entries(keys, values, text):
+        return F.array_join(F.transform(keys, lambda k: F.concat(F.lit("  - `"), k, F.lit("`: "), text(F.try_element_at(values, k)), F.lit("\n"))), "")
 
-    bad = F.coalesce(F.col("do_not_use"), F.create_map().cast("map<string,array<string>>"))
-    block = F.concat(F.lit("### "), "canonical", F.lit("\n\n- **Type:** "), F.coalesce("type", F.lit("")), F.lit("\n- **Translations:**\n"), entries(F.col("translations"), lambda v: v), F.when(F.size(F.map_keys(bad)) > 0, F.concat(F.lit("- **Do not use:**\n"), entries(bad, lambda v: F.array_join(v, ", ")))).otherwise(""))
+    own = entries(F.col("langs"), F.col("translations"), lambda v: v)
+    bad = F.when(F.size("bad_langs") > 0, F.concat(F.lit("- **Do not use:**\n"), entries(F.col("bad_langs"), F.col("do_not_use"), lambda v: F.array_join(v, ", ")))).otherwise("")
+    block = F.concat(F.lit("### "), "canonical", F.lit("\n\n- **Type:** "), F.coalesce("type", F.lit("")), F.lit("\n- **Translations:**\n"), own, bad)
     parts = terms.select("term_pos", block.alias("b")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("term_pos", "b"))).alias("l"))
     langs = languages.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("lang_pos", "lang"))), lambda x: x["lang"]), ", ").alias("langs"))
     head = F.concat(F.lit("# Glossary Review Report\n\n**Total Terms:** "), F.col("n").cast("string"), F.lit("\n**Languages:** "), "langs", F.lit("\n\n## Terms\n\n"))
