@@ -226,6 +226,8 @@ def _first_guess(coded: DataFrame, lex: Lexicon, states: int) -> Model:
 
 def _trained(coded: DataFrame, lex: Lexicon, states: int, rounds: int) -> Model:
     spark = coded.sparkSession
+    if not lex.head:  # nothing to learn from
+        return Model(np.full(states, 1 / states), np.full((states, states), 1 / states), np.full((lex.size, states), 1 / lex.size))
     model, size = _first_guess(coded, lex, states), lex.size
     base = model.emit.mean(1, keepdims=True)
     names = [f"g{k}" for k in range(states)]
