@@ -1,6 +1,6 @@
 """Documents through a text provider: protect, chunk, prompt, call, join, restore.
 
-Everything up to the call is columns; calls run in ``mapInPandas`` with one client
+Everything up to the call is columns; calls run in ``mapInArrow`` with one client
 for each task, and their output is written before it is used, so a lost executor
 repeats only its own calls.
 """
@@ -10,7 +10,7 @@ from __future__ import annotations
 from abc import ABC, abstractmethod
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +27,7 @@ PLACEHOLDERS = """
 IMPORTANT: __CODE_BLOCK_N__ and __INLINE_CODE_N__ stand for code.
 Output them verbatim and unchanged; never translate, modify or remove them."""
 _RESPONSE = "content string, model string, prompt_tokens long, completion_tokens long, total_tokens long, finish_reason string, error string"
+_ANSWER = [("content", pa.string()), ("model", pa.string()), ("prompt_tokens", pa.int64()), ("completion_tokens", pa.int64()), ("total_tokens", pa.int64()), ("finish_reason", pa.string()), ("error", pa.string())]
 
 
 class Provider(ABC):
@@ -91,7 +92,7 @@ def prepared(docs: DataFrame, lang: Column, text_col: str = "text", max_lines: i
     t = docs.select("doc_id", lang.alias("target_lang"), X.unix_lines(F.col(text_col)).alias("t"))
     t = t.select("doc_id", "target_lang", X.frontmatter(F.col("t")).alias("frontmatter"), X.protect(X.body(F.col("t"))).alias("p"), (F.col("t").isNull() | X.is_blank(F.coalesce("t", F.lit("")))).alias("blank"))
     t = t.withColumn("chunks", F.when(F.col("blank"), F.array(F.lit(None).cast("string"))).otherwise(chunks(F.col("p.text"), max_lines)))
-    t = t.select("doc_id", "target_lang", "frontmatter", F.col("p.entries").alias("entries"), "blank", F.size("chunks").alias("n_chunks"), F.posexplode("chunks").alias("chunk_no", "chunk"))
+    t = t.select("doc_id", "target_lang", "frontmatter", F.coalesce("p.entries", F.array().cast("array<struct<placeholder:string,original:string>>")).alias("entries"), "blank", F.size("chunks").alias("n_chunks"), F.posexplode("chunks").alias("chunk_no", "chunk"))
     asked = messages(F.col("chunk"), F.col("target_lang"), F.size("entries") > 0, template, glossary_section)
     return t.select("doc_id", "target_lang", "frontmatter", "entries", "chunk_no", "n_chunks", F.when(~F.col("blank"), asked).alias("messages"), F.when(F.col("blank"), F.lit("Input is empty")).alias("error"))
 
@@ -100,26 +101,27 @@ def called(requests: DataFrame, provider: str = "echo", options: dict | None = N
     """``requests`` with the provider's answers; a failed call is an ``error``, not a failed task."""
     options, make = options or {}, provider_factory(provider)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         client = make(options)
-        for frame in frames:
-            rows = []
-            for asked, error in zip(frame["messages"], frame["error"]):
-                if error is not None:
-                    rows.append({"error": error})
-                    continue
-                try:
-                    got = client.chat([{"role": m["role"], "content": m["content"]} for m in asked], options)
-                    usage = got.get("usage") or {}
-                    rows.append({"content": got["content"], "model": got.get("model"), "finish_reason": got.get("finish_reason"), "error": None} | {k: usage.get(k) or 0 for k in ("prompt_tokens", "completion_tokens", "total_tokens")})
-                except Exception as e:  # noqa: BLE001  a provider may raise anything
-                    rows.append({"error": str(e) or type(e).__name__})
-            out = frame.drop(columns=["error", "messages"]).reset_index(drop=True)
-            yield pd.concat([out, pd.DataFrame(rows, columns=["content", "model", "prompt_tokens", "completion_tokens", "total_tokens", "finish_reason", "error"])], axis=1)
+        for batch in batches:
+            rows = [answer(client, m, e) for m, e in zip(batch["messages"].to_pylist(), batch["error"].to_pylist())]
+            kept = [n for n in batch.schema.names if n not in ("messages", "error")]
+            new = [pa.array([r.get(n) for r in rows], k) for n, k in _ANSWER]
+            yield pa.RecordBatch.from_arrays([*(batch[n] for n in kept), *new], [*kept, *(n for n, _ in _ANSWER)])
+
+    def answer(client: Provider, asked: list[dict] | None, error: str | None) -> dict:
+        if error is not None:
+            return {"error": error}
+        try:
+            got = client.chat(asked, options)
+        except Exception as e:  # noqa: BLE001  a provider may raise anything
+            return {"error": str(e) or type(e).__name__}
+        usage = got.get("usage") or {}
+        return {"content": got["content"], "model": got.get("model"), "finish_reason": got.get("finish_reason")} | {k: usage.get(k) or 0 for k in ("prompt_tokens", "completion_tokens", "total_tokens")}
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in requests.schema if f.name not in ("messages", "error"))
     dealt = requests.repartition(concurrency) if concurrency else requests
-    return dealt.mapInPandas(run, f"{schema}, {_RESPONSE}")
+    return dealt.mapInArrow(run, f"{schema}, {_RESPONSE}")
 
 
 def joined(answers: DataFrame, separator: str = "", exact: bool = False) -> DataFrame:

@@ -1,0 +1,241 @@
+"""Semantics that the tables do not exercise: fences, look-arounds, paths, glossaries, failures."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from corpusloom.functions import paths as P
+from corpusloom.functions import text as X
+from corpusloom.operators import chunking, coverage, jsonflat, lint, translate
+from corpusloom.sources import files, glossary
+from corpusloom.streaming import deltas
+
+
+def one(spark, text, use):
+    return spark.createDataFrame([(text,)], "t string").select(use(F.col("t")).alias("x")).first()["x"]
+
+
+@pytest.mark.parametrize(
+    ("text", "front"),
+    [("---\na: 1\n---\nbody", "---\na: 1\n---\n"), ("---\na: 1\n---", "---\na: 1\n---"), ("---\n---\nx", "---\n---\n"), ("---\na\n--- \t\nx", "---\na\n--- \t\n"), ("x\n---\na\n---\n", None), ("", None), (None, None)],
+)
+def test_frontmatter(spark, text, front):
+    assert one(spark, text, X.frontmatter) == front
+    if text is not None:
+        assert one(spark, text, X.body) == text[len(front or "") :]
+
+
+def protect_model(text):
+    """Line by line: a fence opens with three or more backticks at column 0 and closes with as many alone."""
+    lines, out, entries, i = text.split("\n"), [], [], 0
+    while i < len(lines):
+        n = len(lines[i]) - len(lines[i].lstrip("`"))
+        end = None
+        if n >= 3:
+            for j in range(i + 1, len(lines)):
+                s = lines[j].strip()
+                if lines[j].startswith("`") and set(s) == {"`"} and len(s) >= n:
+                    end = j
+                    break
+            if end is None:
+                out += lines[i:]
+                break
+            name = f"__CODE_BLOCK_{len(entries)}__"
+            entries.append((name, "\n".join(lines[i : end + 1])))
+            out += [name] + [""] * (end - i)
+            i = end + 1
+            continue
+        out.append(lines[i])
+        i += 1
+    import re
+
+    codes = []
+    text = re.sub(r"`[^`\n]+`", lambda m: codes.append(m[0]) or f"__INLINE_CODE_{len(codes) - 1}__", "\n".join(out))
+    return text, entries + [(f"__INLINE_CODE_{k}__", c) for k, c in enumerate(codes)]
+
+
+def test_protect_and_exact_restore_match_a_line_model(spark):
+    rng = random.Random(5)
+    texts = ["\n".join(rng.choice(["```", "````", "```sql", "a `b` c", "text", "", "``` ", " ```", "``x``"]) for _ in range(rng.randint(1, 14))) for _ in range(400)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", X.protect(F.col("t")).alias("p")).select("i", "p", X.restore(F.col("p.text"), F.col("p.entries"), exact=True).alias("back"))
+    for r in df.collect():
+        text, entries = protect_model(texts[r["i"]])
+        assert r["p"]["text"] == text, texts[r["i"]]
+        assert [(e["placeholder"], e["original"]) for e in r["p"]["entries"]] == entries
+        assert r["back"] == texts[r["i"]]
+
+
+def test_long_fence_does_not_overflow(spark):
+    text = "a\n```\n" + "x\n" * 100_000 + "```\nb"
+    got = one(spark, text, lambda t: X.protect(t)["text"])
+    assert got.count("\n") == text.count("\n") and got.endswith("\nb")
+
+
+def uncovered_model(line, word, canonical):
+    def ident(c):
+        return c.isascii() and (c.isalnum() or c == "_")
+
+    for i in range(len(line)):
+        if not line.startswith(word, i) or i and ident(line[i - 1]) or i + len(word) < len(line) and (ident(line[i + len(word)]) or line[i + len(word)] == "-"):
+            continue
+        if not (canonical and any(canonical.startswith(word, p) and i >= p and line.startswith(canonical, i - p) for p in range(len(canonical)))):
+            return True
+    return False
+
+
+def test_matching_equals_a_model(spark):
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("ab_- .本") for _ in range(n))
+    rows = [(word(rng.randint(0, 10)), w, c, X.uncovered_pattern(w, c)) for w, c in ((word(rng.randint(1, 2)), rng.choice([None, word(rng.randint(1, 4))])) for _ in range(2000))]
+    got = spark.createDataFrame(rows, "line string, w string, c string, p string").select("line", "w", "c", F.expr("contains(line, w) and line rlike p").alias("hit")).collect()
+    assert all(r["hit"] == uncovered_model(r["line"], r["w"], r["c"]) for r in got)
+
+
+def test_clean_line_order(spark):
+    assert one(spark, "https://a.b　語 urn:a:b z [t](./p) q", X.clean_line) == "　語  z [t q"
+
+
+def issues(spark, text, path="a.md", lang="ja"):
+    g = glossary.Glossary(["ja", "en"], [{"canonical": "API", "type": "noun", "translations": {"ja": "API", "en": "API"}, "do_not_use": {"ja": ["ＡＰＩ", "X"]}}])
+    docs = spark.createDataFrame([(1, path, lang, text)], "doc_id long, path string, lang string, text string")
+    return sorted((r["line"], r["key_path"], r["forbidden"]) for r in lint.lint(docs, g.forbidden_frame(spark)).collect())
+
+
+def test_lint_markdown_and_json(spark):
+    assert issues(spark, "---\nt: ＡＰＩ\n---\n```\nＡＰＩ\n```\nuse ＡＰＩ `ＡＰＩ`\n") == [(7, None, "ＡＰＩ")]
+    assert issues(spark, "X-Warning API_X.md X.\r\nx") == [(1, None, "X")]
+    assert issues(spark, '{"a":{"b":["ok","ＡＰＩ"]},"n":1,"u":"https://x/ＡＰＩ"}', "a.json") == [(0, "a.b[1]", "ＡＰＩ")]
+    assert issues(spark, "{broken", "a.json") == issues(spark, None) == issues(spark, "") == []
+
+
+def test_json_leaves_deep_and_root():
+    assert [*jsonflat.leaves("x")] == [] and [*jsonflat.leaves(["a", {"b.c": "d"}])] == [("[0]", "a"), ("[1].b.c", "d")]
+
+
+def chunk_model(text, most, small):
+    """Chunks by the rules: headings of level two, then three, then safe lines; small ones join the one before."""
+
+    def facts(lines):
+        inside, out = False, []
+        for line in lines:
+            fence = line.startswith("```")
+            out.append((inside, fence))
+            inside ^= fence
+        return out
+
+    def heads(lines, level):
+        return [i for i, (line, f) in enumerate(zip(lines, facts(lines))) if line.startswith("#" * level + " ") and not f[0] and not f[1]]
+
+    def cut(lines, starts):
+        return [t for t in ("\n".join(lines[a:b]) for a, b in zip(starts, [*starts[1:], len(lines)])) if t.strip()]
+
+    def safe(lines):
+        starts = [0]
+        for i, (line, f) in enumerate(zip(lines, facts(lines))):
+            if i - starts[-1] >= most and not f[0] and not f[1] and not line.startswith("|"):
+                starts.append(i)
+        return cut(lines, starts)
+
+    def zero(starts):
+        return starts if starts and starts[0] == 0 else [0, *starts]
+
+    def section(t):
+        lines = t.split("\n")
+        if len(lines) <= most:
+            return [t]
+        h = heads(lines, 3)
+        if not any(h):
+            return safe(lines)
+        return [p for s in cut(lines, zero(h)) for p in ([s] if len(s.split("\n")) <= most else safe(s.split("\n")))]
+
+    lines = text.split("\n")
+    if len(lines) <= most:
+        return [text]
+    h = heads(lines, 2)
+    if not h:
+        return safe(lines)
+    out = []
+    for c in (p for s in cut(lines, zero(h)) for p in section(s)):
+        n = len(c.split("\n"))
+        if out and n < small and len(out[-1].split("\n")) + n <= most:
+            out[-1] += "\n" + c
+        else:
+            out.append(c)
+    return out
+
+
+def test_chunks_equal_a_model(spark):
+    rng = random.Random(8)
+    texts = ["\n".join(rng.choice(["## h", "### s", "text", "text", "| t |", "```", ""]) for _ in range(rng.randint(1, 40))) for _ in range(300)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", chunking.chunks(F.col("t"), 8, 3).alias("c"))
+    for r in df.collect():
+        assert r["c"] == chunk_model(texts[r["i"]], 8, 3), texts[r["i"]]
+
+
+def test_translation_failures_stay_with_their_document(spark):
+    def make(options):
+        class Fails(translate.Echo):
+            def chat(self, messages, options):
+                if "bad" in messages[-1]["content"]:
+                    raise RuntimeError("no answer")
+                return super().chat(messages, options)
+
+        return Fails()
+
+    translate.register("fails", make)
+    docs = spark.createDataFrame([(1, "---\na: 1\n---\nsee `x`\n```\ny\n```\nend"), (2, "bad"), (3, " \n"), (4, None)], "doc_id long, text string")
+    out = {r["doc_id"]: r for r in translate.translate(docs, "ja", "fails", exact=True).collect()}
+    assert out[1]["content"] == "---\na: 1\n---\nsee `x`\n```\ny\n```\nend" and out[1]["error"] is None
+    assert (out[2]["error"], out[3]["error"], out[4]["error"]) == ("no answer", "Input is empty", "Input is empty")
+    with pytest.raises(ValueError, match="Unsupported provider"):
+        translate.provider_factory("none")
+
+
+def test_paths(spark):
+    out = lambda p, d=None, b=None: one(spark, p, lambda c: P.output_path(c, F.lit("ja"), F.lit(d).cast("string"), F.lit(b).cast("string")))
+    assert out("docs/a/b.md", "out", "docs")["path"] == "out/a/b.md" and out("b.md")["path"] == "b.ja.md" and out("x/README")["path"] == "x/README.ja"
+    assert out("docs/../../b.md", "out", "docs")["error"] and out("other/b.md", "out", "docs")["error"]
+    assert one(spark, ".bashrc", P.extension) == "" and P.glob_base("docs/en/inv*.md") == "docs/en" and P.glob_base("*.md") is None
+    paths = spark.createDataFrame([("a/b/c.md",), ("a/b/d/e.md",), ("a/bb/x.md",)], "path string")
+    assert P.common_directory(paths).first()["base"] == "a"
+
+
+def test_glossary_files(spark, tmp_path):
+    path = str(tmp_path / "g.yaml")
+    assert glossary.load_glossary(path) is None
+    glossary.init_glossary(path)
+    g = glossary.load_glossary(path)
+    assert g.languages == ["ja", "en"] and g.terms[0]["do_not_use"]["ja"][0] == "ＡＰＩ"
+    with pytest.raises(FileExistsError):
+        glossary.init_glossary(path)
+    with pytest.raises(ValueError, match="languages"):
+        glossary.parse_glossary("terms: []")
+    stubs, n = glossary.with_stubs(glossary.Glossary(["ja", "en"], [{"canonical": "a", "translations": {"ja": "x", "en": ""}}]))
+    assert n == 1 and stubs.terms[0]["translations"]["en"] == ""
+    empty = glossary.Glossary(["ja"], [])
+    assert coverage.prompt_section(empty.terms_frame(spark), "ja").first()["section"] == ""
+
+
+def test_files_and_config(spark, tmp_path):
+    docs = spark.createDataFrame([("a/x.md", "é\r\n"), ("b/y.txt", "z")], "path string, text string")
+    files.write_documents(docs, str(tmp_path / "d"))
+    got = files.read_documents(spark, str(tmp_path / "d"), "**/*.md").collect()
+    assert [(r["path"], r["text"]) for r in got] == [("a/x.md", "é\r\n")]
+    (tmp_path / "c.yaml").write_text("provider: claude\nmodel: m\n")
+    assert files.load_config(str(tmp_path / "c.yaml")).model == "m"
+    (tmp_path / "c.yaml").write_text("provider: other\nmodel: m\n")
+    with pytest.raises(files.AppError, match="Invalid provider"):
+        files.load_config(str(tmp_path / "c.yaml"))
+    files.log_rows(spark.createDataFrame([("echo", True)], "provider string, success boolean"), str(tmp_path / "log"))
+    assert spark.read.json(str(tmp_path / "log")).first()["timestamp"].endswith("Z")
+
+
+def test_delta_fold_and_stream(spark, tmp_path):
+    rows = [(1, 0, "a", False), (1, 1, "", False), (1, 2, "b", False), (1, 3, "", True), (1, 4, "late", False), (2, 0, "x", False)]
+    df = spark.createDataFrame(rows, "request_id long, seq long, content string, done boolean")
+    assert {r["request_id"]: (r["content"], r["done"]) for r in deltas.folded(df).collect()} == {1: ("ab", True), 2: ("x", False)}
+    df.write.parquet(str(tmp_path / "in"))
+    seen = []
+    deltas.follow(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), str(tmp_path / "cp"), lambda b, e: seen.append(b.count())).awaitTermination()
+    assert sum(seen) == 4
