@@ -20,13 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .quality import bucket
 from .storage import stored
 from .words import lower_words
 
 #: The end of a text; no word holds white space.
 END = b"\n"
 #: Words that are classes of their own; words whose counts every task looks up; classes of all other words.
-HEAD, LOOKUP, BINS = 20_000, 200_000, 1024
+HEAD, LOOKUP, BINS = 20_000, 100_000, 1024
 STATES, ROUNDS = 8, 4
 #: Classes whose company in documents gives the states' first guess.
 ANCHORS = 128
@@ -110,14 +111,20 @@ class Lexicon:
 def lexicon(words: DataFrame, head: int = HEAD, lookup: int = LOOKUP) -> Lexicon:
     """``words``: a stored vocabulary."""
     total = words.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
-    order = [F.col("word") != F.lit(bytearray(END)), F.desc("c"), F.col("word")]
-    top = words.orderBy(*order).limit(lookup)
-    rows = top.collect()
-    rest = {}
-    if total["v"] > len(rows):
-        last = rows[-1]
-        beyond = (F.col("c") < last["c"]) | ((F.col("c") == last["c"]) & (F.col("word") > F.lit(bytearray(last["word"]))))
-        rest = {r["bin"]: r["t"] for r in words.where(beyond & (F.col("word") != F.lit(bytearray(END)))).groupBy("bin").agg(F.sum(F.col("c") + 1).alias("t")).collect()}
+    is_end = F.col("word") == F.lit(bytearray(END))
+    # the least count that no more than ``lookup`` words reach, from counts in log-linear buckets: a few thousand rows at most
+    least, above = 1, 0
+    for r in sorted(words.where(~is_end).groupBy(bucket(F.col("c")).alias("c")).count().collect(), key=lambda r: -r["c"]):
+        above += r["count"]
+        if above >= lookup:
+            break
+        least = r["c"]
+    else:
+        least = 1
+    if above >= lookup and least == 1:
+        least = 1 << 62  # not even the most frequent words fit
+    rows = words.where(is_end | (F.col("c") >= least)).collect()
+    rest = {r["bin"]: r["t"] for r in words.where(~is_end & (F.col("c") < least)).groupBy("bin").agg(F.sum(F.col("c") + 1).alias("t")).collect()}
     return Lexicon(rows, rest, total["n"] or 0, total["v"], head)
 
 
