@@ -31,7 +31,7 @@ def read_documents(spark: SparkSession, root: str, pattern: str = "**") -> DataF
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     path = F.regexp_replace(F.col("path"), r"^[a-z]+:(?://)?(?=/)", "")
     rel = F.substring_index(path, head.split("://")[-1].replace("//", "/"), -1)
-    out = found.select(rel.alias("path"), F.decode("content", F.lit("UTF-8")).alias("text"))
+    out = found.select(rel.alias("path"), F.decode("content", "UTF-8").alias("text"))
     return out.where(F.col("path").rlike(glob_regex(pattern)))
 
 
