@@ -289,6 +289,22 @@ def test_passages(spark, empty):
     assert passages.repeated_passages(empty).count() == 0
 
 
+def test_passages_of_hot_and_other_seeds_are_the_same(spark, monkeypatch):
+    rnd = random.Random(8)
+    passage = [f"w{rnd.randrange(900)}" for _ in range(70)]
+    rows = []
+    for i in range(40):
+        before, after = ([f"v{rnd.randrange(900)}" for _ in range(rnd.randrange(30))] for _ in range(2))
+        rows.append((i, " ".join(before + (passage if i % 3 else []) + after)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = []
+    for hot in (0, 100, 10_000):  # no hot seed, some, all
+        monkeypatch.setattr(passages, "HOT", hot)
+        found.append(sorted(map(tuple, passages.repeated_passages(docs).collect())))
+    assert found[0] == found[1] == found[2]
+    assert {r[0] for r in found[0]} == {i for i in range(40) if i % 3} - {1}
+
+
 def test_chain_prefers_collinear_anchors():
     anchors = [(0, 100, 10), (12, 112, 10), (15, 500, 8), (24, 124, 10), (400, 130, 9)]
     best = passages.chains(anchors)[0]
