@@ -255,6 +255,22 @@ def test_line_dedup(spark, empty):
     assert lines.dedup_lines(empty).count() == 0 and lines.dedup_lines(df).columns == df.columns
 
 
+def test_line_dedup_finds_edited_lines(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 8)))
+    rows = []
+    for n in [*range(4, 31)] * 3:
+        line = [word() for _ in range(n)]
+        edited = [*line]
+        at = rng.randrange(n)
+        edited[at] = word()[: len(line[at])] if n >= 12 else line[at][:-1] + "z"
+        rows += [(len(rows), " ".join(line), 1), (len(rows) + 1, " ".join(edited), 0)]
+    rows += [(len(rows), "contents", 1), (len(rows) + 1, "Contents!", 0), (len(rows) + 2, "contenst", None), (len(rows) + 3, "see also", 1), (len(rows) + 4, "see also", 0), (len(rows) + 5, "introduction", 1), (len(rows) + 6, "introductin", 0), (len(rows) + 7, "planning several larger gardens today", 1), (len(rows) + 8, "plannink several larger gardenz today", 0)]
+    got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, kept int").drop("kept"), least_words=1).collect()}
+    assert [i for i, t, kept in rows if kept == 1 and got[i] != t] == []
+    assert [i for i, _, kept in rows if kept == 0 and got[i] != ""] == []
+
+
 def test_line_simhash_and_candidates(spark):
     texts = [[f"w{i}" for i in range(n)] for n in (1, 2, 63, 127, 128, 500)]
     df = spark.createDataFrame([(t,) for t in texts], "w array<string>").select("w", lines.simhash(F.col("w")).alias("s"), F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
