@@ -271,6 +271,14 @@ def test_line_dedup_finds_edited_lines(spark):
     assert [i for i, _, kept in rows if kept == 0 and got[i] != ""] == []
 
 
+def test_line_dedup_tells_rows_apart(spark):
+    rows = [(None, "alpha beta gamma\nonly the first row has this"), (None, "alpha beta gamma\nanother text stands in here"), (None, "same in both rows"), (None, "same in both rows"), (5, "delta epsilon zeta\nalpha beta gamma"), (5, "delta epsilon zeta\nlines of their own remain"), (6, "delta epsilon zeta")]
+    got = sorted(((r["doc_id"] or 0, r["text"]) for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    left = Counter(line for _, t in got for line in t.split("\n") if line)
+    assert len(got) == 7 and left == Counter({line for _, t in rows for line in t.split("\n")})
+    assert [i for i, t in got if "alpha beta gamma" in t] == [5] and (6, "") in got
+
+
 def test_line_simhash_and_candidates(spark):
     texts = [[f"w{i}" for i in range(n)] for n in (1, 2, 63, 127, 128, 500)]
     df = spark.createDataFrame([(t,) for t in texts], "w array<string>").select("w", lines.simhash(F.col("w")).alias("s"), F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
