@@ -26,18 +26,20 @@ from .words import lower_words
 
 #: Fingerprints of one group that one task compares at once.
 CHUNK = 4096
+#: For copies of a similarity: least shingle hashes by which a document is found, and differing bits it may have before it is verified.
+KEYS, NEAR_BITS = 6, 24
 
 
-def fingerprint(text: bytes | None, shingle: int = 3, seed: int = 42) -> int:
-    """Unsigned; a bit is set if over half of the shingles' XXH64 have it; without words zero."""
-    found = lower_words(text)
+def _shingles(found: list[bytes], shingle: int) -> list[bytes]:
     if not found:
-        return 0
+        return []
     if len(found) <= shingle:
-        hashes = [xxhash.xxh64_intdigest(b" ".join(found), seed)]
-    else:
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(b" ".join(s), seed) for s in zip(*(found[i:] for i in range(shingle)))]
+        return [b" ".join(found)]
+    return [b" ".join(s) for s in zip(*(found[i:] for i in range(shingle)))]
+
+
+def _majority(hashes: list[int]) -> int:
+    """Bits set in over half of the hashes."""
     ones, n = np.zeros(64, np.int64), len(hashes)
     for at in range(0, n, 1 << 16):  # memory of the bit matrix stays bounded for texts of any length
         part = np.array(hashes[at : at + (1 << 16)], "<u8")
@@ -45,6 +47,12 @@ def fingerprint(text: bytes | None, shingle: int = 3, seed: int = 42) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: bytes | None, shingle: int = 3, seed: int = 42) -> int:
+    """Unsigned; a bit is set if over half of the shingles' XXH64 have it; without words zero."""
+    digest = xxhash.xxh64_intdigest
+    return _majority([digest(s, seed) for s in _shingles(lower_words(text), shingle)])
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """``doc_id, fp`` with ``fp`` the fingerprint's bits as a signed long."""
 
@@ -203,6 +211,82 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return once.unionByName(docs.where(F.col(id_col).isNull()))
 
 
+def _sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """``doc_id, t, node, fp, n, keys``: equal sets of shingles are one node; the keys are the set's least hashes."""
+
+    def run(batches):
+        digest = xxhash.xxh64_intdigest
+        for batch in batches:
+            nodes, fps, sizes, keys = [], [], [], []
+            for t in batch.column(1):
+                hashes = [digest(s, 42) for s in _shingles(lower_words(t.as_py()), shingle)]
+                each = np.unique(np.array(hashes, np.uint64))
+                nodes.append(xxhash.xxh64_intdigest(each.tobytes()))
+                fps.append(_majority(hashes))
+                sizes.append(len(each))
+                keys.append(each[:KEYS].view(np.int64))
+            longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (nodes, fps)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *longs, pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "t", "node", "fp", "n", "keys"])
+
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("t"))
+    return own.mapInArrow(run, "doc_id long, t binary, node long, fp long, n int, keys array<bigint>")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, similar: float) -> DataFrame:
+    """The pairs ``a, b`` whose sets of shingles have a Jaccard similarity of ``similar`` or more."""
+
+    def run(batches):
+        for batch in batches:
+            kept, last, x = [], None, set()
+            for i, (s, t) in enumerate(zip(batch.column(2), batch.column(3))):
+                s = s.as_py()
+                if s != last:
+                    last, x = s, set(_shingles(lower_words(s), shingle))
+                y = set(_shingles(lower_words(t.as_py()), shingle))
+                both = len(x & y)
+                if both >= similar * (len(x) + len(y) - both) - 1e-9:
+                    kept.append(i)
+            yield batch.select([0, 1]).take(pa.array(kept, pa.int64()))
+
+    met = pairs.join(texts.select(F.col("node").alias("a"), F.col("t").alias("s")), "a").join(texts.select(F.col("node").alias("b"), "t"), "b")
+    return met.select("a", "b", "s", "t").mapInArrow(run, "a long, b long")
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similar: float = 0.8, most: int = NEAR_BITS) -> DataFrame:
+    """``docs`` with one document of each class of copies of Jaccard similarity ``similar`` on shingles: that with the smallest id, once.
+
+    Three bits don't reach that similarity, which needs some 10 of 64, and segments
+    don't sieve for so many; candidates share one of their ``KEYS`` least shingle hashes
+    (of two sets of similarity 0.8 all but about 0.2 ** KEYS do), differ in at most
+    ``most`` bits and are verified on their shingles.  Rows without an id cannot be
+    named and stay as they are.
+    """
+    named = docs.where(F.col(id_col).isNotNull())
+    own = stored(_sketches(named, id_col, text_col, shingle), "sketches")
+    nodes = own.groupBy("node").agg(F.min("doc_id").alias("least"), F.first(F.struct("fp", "n", "keys")).alias("s")).select("node", "least", "s.*")
+    nodes = stored(nodes, "sketch-nodes")
+    keyed = nodes.select("node", "fp", "n", F.explode("keys").alias("key"))
+    shared = keyed.groupBy("key").agg(F.min(F.struct("node", "fp", "n")).alias("lead"), F.count("*").alias("holders")).where("holders > 1")
+    keyed = stored(keyed.join(shared.select("key", "lead"), "key"), "sketch-keys")
+    texts = own.join(keyed.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("t").alias("t"))
+    able = (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= most) & (F.least("n", "n2") >= similar * F.greatest("n", "n2") - 1e-9)
+    # every node with the first of each of its groups; then every pair that is still apart
+    led = keyed.select("node", "fp", "n", *[F.col(f"lead.{c}").alias(f"{c}2") for c in ("node", "fp", "n")]).where("node <> node2").where(able)
+    led = stored(_verified(led.select(F.col("node2").alias("a"), F.col("node").alias("b")).distinct(), texts, shingle, similar), "sketch-led")
+    part = keyed.join(components(led, "a", "b"), "node", "left").select("key", "node", "fp", "n", F.coalesce("root", "node").alias("comp"))
+    part = stored(part, "sketch-parts")
+    split = part.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
+    part = part.join(split, "key", "left_semi")
+    other = part.select("key", *[F.col(c).alias(f"{c}2") for c in ("node", "fp", "n", "comp")])
+    apart = part.join(other, "key").where((F.col("node") < F.col("node2")) & (F.col("comp") != F.col("comp2")) & able)
+    more = _verified(apart.select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct(), texts, shingle, similar)
+    found = components(more.unionByName(led), "a", "b").withColumnRenamed("node", "b")
+    rooted = nodes.select("node", "least").join(found, F.col("node") == F.col("b"), "left").select("least", F.coalesce("root", "node").alias("root"))
+    kept = rooted.groupBy("root").agg(F.min("least").alias("__kept")).select("__kept").distinct()
+    once = named.join(kept, F.col(id_col).cast("long") == F.col("__kept"), "left_semi").dropDuplicates([id_col])
+    return once.unionByName(docs.where(F.col(id_col).isNull()))
+
+
 def op6_simhash(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
