@@ -1,8 +1,9 @@
 """Shared storage for intermediate tables.
 
 Everything an operator needs to cut lineage or to read twice is written as
-Parquet below the folder the cluster names in ``spark.checkpoint.dir``; a
-temporary folder is used only where that setting is absent (tests).
+Parquet below the folder the cluster names in ``spark.checkpoint.dir``.  Where
+that setting is absent a local master (as in tests) has a temporary folder, and
+any other is refused: its executors would each write to a disk of their own.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         found = spark.conf.get("corpusloom.shared.dir", None)
         if not found:
+            if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             found = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
             spark.conf.set("corpusloom.shared.dir", found)
     return found.rstrip("/")
