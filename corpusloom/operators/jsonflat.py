@@ -31,12 +31,17 @@ def leaves(value, path: str = ""):
 _LEAVES = T.ArrayType(T.StructType([T.StructField("key_path", T.StringType()), T.StructField("value", T.StringType())]))
 
 
+def _no_number(name: str):
+    """NaN and the infinities are no JSON."""
+    raise ValueError(f"{name} is not a JSON number")
+
+
 @F.arrow_udf(T.StructType([T.StructField("leaves", _LEAVES), T.StructField("error", T.StringType())]))
 def _flat(texts: pa.Array) -> pa.Array:
     found, errors = [], []
     for t in texts.to_pylist():
         try:
-            found.append([{"key_path": p, "value": v} for p, v in leaves(json.loads(t))] if t is not None else [])
+            found.append([{"key_path": p, "value": v} for p, v in leaves(json.loads(t, parse_constant=_no_number))] if t is not None else [])
             errors.append(None)
         except (ValueError, RecursionError) as e:
             found.append([])

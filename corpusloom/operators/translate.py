@@ -1,8 +1,9 @@
 """Documents through a text provider: protect, chunk, prompt, call, join, restore.
 
 Everything up to the call is columns; calls run in ``mapInArrow`` with one client
-for each task, and their output is written before it is used, so a lost executor
-repeats only its own calls.
+for each task.  Where the cluster names a folder in ``spark.checkpoint.dir`` the
+answers are written there before they are used, so that a lost executor repeats
+only the calls of its unfinished tasks.
 """
 
 from __future__ import annotations
@@ -18,14 +19,14 @@ from ..functions import text as X
 from ..functions.paths import output_path
 from .chunking import MAX_LINES, chunks
 
-TEMPLATE = """Translate the following Markdown document to {{targetLanguage}}.
+TEMPLATE = """You are given part of a documentation file. Render it in {{targetLanguage}}.
 
-Keep its structure, all Markdown formatting, URLs, link paths and file paths exactly as they are.
-Do not translate code or the keys of frontmatter. Write natural, fluent text.{{content}}"""
+Answer with the rendered text alone. Markup, link targets, addresses and field names keep their spelling; code is left alone.
+Sentences should read as if they had been written in that language.{{content}}"""
 PLACEHOLDERS = """
 
-IMPORTANT: __CODE_BLOCK_N__ and __INLINE_CODE_N__ stand for code.
-Output them verbatim and unchanged; never translate, modify or remove them."""
+Marks like __CODE_BLOCK_0__ and __INLINE_CODE_0__ hold the place of code that was taken out.
+Copy each of them, letter by letter, to where it belongs."""
 _RESPONSE = "content string, model string, prompt_tokens long, completion_tokens long, total_tokens long, finish_reason string, error string"
 _ANSWER = [("content", pa.string()), ("model", pa.string()), ("prompt_tokens", pa.int64()), ("completion_tokens", pa.int64()), ("total_tokens", pa.int64()), ("finish_reason", pa.string()), ("error", pa.string())]
 
@@ -85,16 +86,17 @@ def split_system(history: Column, assistant: str = "assistant") -> Column:
 
 
 def prepared(docs: DataFrame, lang: Column, text_col: str = "text", max_lines: int = MAX_LINES, template: str | None = None, glossary_section: Column | None = None) -> DataFrame:
-    """One row a chunk: ``doc_id, target_lang, frontmatter, entries, chunk_no, n_chunks, messages, error``.
+    """One row a chunk: ``row, doc_id, target_lang, frontmatter, entries, chunk_no, n_chunks, messages, error``.
 
-    A null or blank text has one row with an error and no messages.
+    A null or blank text has one row with an error and no messages.  ``row`` numbers the
+    rows of ``docs``, so that rows which repeat an id stay apart.
     """
-    t = docs.select("doc_id", lang.alias("target_lang"), X.unix_lines(F.col(text_col)).alias("t"))
-    t = t.select("doc_id", "target_lang", X.frontmatter(F.col("t")).alias("frontmatter"), X.protect(X.body(F.col("t"))).alias("p"), (F.col("t").isNull() | X.is_blank(F.coalesce("t", F.lit("")))).alias("blank"))
+    t = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", lang.alias("target_lang"), X.unix_lines(F.col(text_col)).alias("t"))
+    t = t.select("row", "doc_id", "target_lang", X.frontmatter(F.col("t")).alias("frontmatter"), X.protect(X.body(F.col("t"))).alias("p"), (F.col("t").isNull() | X.is_blank(F.coalesce("t", F.lit("")))).alias("blank"))
     t = t.withColumn("chunks", F.when(F.col("blank"), F.array(F.lit(None).cast("string"))).otherwise(chunks(F.col("p.text"), max_lines)))
-    t = t.select("doc_id", "target_lang", "frontmatter", F.coalesce("p.entries", F.array().cast("array<struct<placeholder:string,original:string>>")).alias("entries"), "blank", F.size("chunks").alias("n_chunks"), F.posexplode("chunks").alias("chunk_no", "chunk"))
+    t = t.select("row", "doc_id", "target_lang", "frontmatter", F.coalesce("p.entries", F.array().cast("array<struct<placeholder:string,original:string>>")).alias("entries"), "blank", F.size("chunks").alias("n_chunks"), F.posexplode_outer("chunks").alias("chunk_no", "chunk"))  # the outer form lets no test of the array's size reach the scan
     asked = messages(F.col("chunk"), F.col("target_lang"), F.size("entries") > 0, template, glossary_section)
-    return t.select("doc_id", "target_lang", "frontmatter", "entries", "chunk_no", "n_chunks", F.when(~F.col("blank"), asked).alias("messages"), F.when(F.col("blank"), F.lit("Input is empty")).alias("error"))
+    return t.where("chunk_no is not null").select("row", "doc_id", "target_lang", "frontmatter", "entries", "chunk_no", "n_chunks", F.when(~F.col("blank"), asked).alias("messages"), F.when(F.col("blank"), F.lit("Input is empty")).alias("error"))
 
 
 def called(requests: DataFrame, provider: str = "echo", options: dict | None = None, concurrency: int | None = None) -> DataFrame:
@@ -114,10 +116,12 @@ def called(requests: DataFrame, provider: str = "echo", options: dict | None = N
             return {"error": error}
         try:
             got = client.chat(asked, options)
-        except Exception as e:  # noqa: BLE001  a provider may raise anything
-            return {"error": str(e) or type(e).__name__}
-        usage = got.get("usage") or {}
-        return {"content": got["content"], "model": got.get("model"), "finish_reason": got.get("finish_reason")} | {k: usage.get(k) or 0 for k in ("prompt_tokens", "completion_tokens", "total_tokens")}
+            content, usage = got["content"], got.get("usage") or {}
+        except Exception as e:  # noqa: BLE001  a provider may raise or answer anything
+            return {"error": f"No content in the answer: {e}" if isinstance(e, KeyError) else str(e) or type(e).__name__}
+        if not isinstance(content, str):
+            return {"error": "The answer's content is not a text"}
+        return {"content": content, "model": got.get("model"), "finish_reason": got.get("finish_reason")} | {k: usage.get(k) or 0 for k in ("prompt_tokens", "completion_tokens", "total_tokens")}
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in requests.schema if f.name not in ("messages", "error"))
     dealt = requests.repartition(concurrency) if concurrency else requests
@@ -129,7 +133,7 @@ def joined(answers: DataFrame, separator: str = "", exact: bool = False) -> Data
 
     ``separator`` stands between chunks: nothing by default, a line end to lose none.
     """
-    own = answers.groupBy("doc_id", "target_lang").agg(
+    own = answers.groupBy("row", "doc_id", "target_lang").agg(
         F.array_sort(F.collect_list(F.struct("chunk_no", "content"))).alias("c"), F.first("frontmatter").alias("frontmatter"), F.first("entries").alias("entries"), F.count("*").alias("chunks"),
         *[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in ("prompt_tokens", "completion_tokens", "total_tokens")], F.min_by("error", "chunk_no").alias("e0"), F.max("error").alias("e1"),
     )
@@ -143,7 +147,10 @@ def translate(docs: DataFrame, lang: str, provider: str = "echo", options: dict
     """Translations of all documents; a failure stays with its document."""
     shape = {k: how.pop(k) for k in ("separator", "exact") if k in how}
     concurrency = how.pop("concurrency", None)
-    return joined(called(prepared(docs, F.lit(lang), **how), provider, options, concurrency), **shape)
+    answers = called(prepared(docs, F.lit(lang), **how), provider, options, concurrency)
+    if docs.sparkSession.sparkContext.getConf().get("spark.checkpoint.dir", None):
+        answers = answers.checkpoint()
+    return joined(answers, **shape)
 
 
 def planned(docs: DataFrame, lang: str, output_dir: str | None = None, base: str | None = None) -> DataFrame:

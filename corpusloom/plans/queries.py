@@ -120,7 +120,7 @@ def batch_summary(spark, sf_dir):
 
 
 def batch_input_base(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents").where("lang = 'en'").select(F.expr(C.PATH).alias("path"))
+    docs = _table(spark, sf_dir, "documents").select(F.expr(C.PATH).alias("path"))
     return P.common_directory(docs)
 
 
@@ -142,7 +142,7 @@ def call_log_totals(spark, sf_dir):
 
 
 def template_render(spark, sf_dir):
-    template = F.lit("Broken link: {{brokenLink}}\nFile: {{filePath}} {{brokenLink}}")
+    template = F.lit("Page {{filePath}} points to {{brokenLink}}.\nFind what {{brokenLink}} became.")
     pages = _table(spark, sf_dir, "pages")
     return pages.select("page_id", X.rendered(template, {"brokenLink": F.col("url"), "filePath": F.lit("a.md")}).alias("prompt"))
 
@@ -232,9 +232,9 @@ def oracle_sql() -> dict[str, str]:
         "translate_echo": f"SELECT doc_id, string_agg(chunk, chr(10) ORDER BY chunk_no) AS content, count(*) AS chunks, CAST(sum(len(list_filter(regexp_split_to_array(chunk, '[{_SPACE}]+'), lambda x: x <> ''))) AS BIGINT) AS completion_tokens FROM ({_CHUNKS}) GROUP BY doc_id",
         "batch_output_paths": f"SELECT doc_id, replace(path, 'docs/', 'out/') AS in_folder, replace(path, '.md', '.ja.md') AS beside, replace(path, '.md', '.ja.md') AS dry, false AS is_glob FROM (SELECT doc_id, {C.PATH} AS path FROM documents)",
         "batch_summary": "SELECT count(*) AS total, count(*) FILTER (doc_id % 10 <> 0) AS succeeded, count(*) FILTER (doc_id % 10 = 0) AS failed, count(*) FILTER (doc_id % 10 = 0) AS n_errors FROM documents",
-        "batch_input_base": "SELECT 'docs/en' AS base",
+        "batch_input_base": f"SELECT CASE WHEN count(DISTINCT lang) > 1 THEN 'docs' WHEN count(DISTINCT source) > 1 THEN 'docs/' || min(lang) ELSE 'docs/' || min(lang) || '/' || min(source) END AS base FROM documents",
         "stream_fold": "SELECT conv_id AS request_id, coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (fin IS NULL OR turn < fin), '') AS content, max(fin) IS NOT NULL AS done FROM (SELECT *, min(CASE WHEN turn = 2 THEN turn END) OVER (PARTITION BY conv_id) AS fin FROM conversations) GROUP BY conv_id",
         "message_split": "SELECT conv_id, first(text ORDER BY turn, role, text) FILTER (role = 'system') AS system, coalesce(string_agg(CASE role WHEN 'assistant' THEN 'model' ELSE role END, ',' ORDER BY turn, role, text) FILTER (role <> 'system'), '') AS roles FROM conversations GROUP BY conv_id",
         "call_log_totals": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS hour, event_type AS provider, count(*) AS calls, count(*) FILTER (event_id % 7 = 0) AS failed, CAST(sum(user_id) AS BIGINT) AS input_tokens, CAST(sum(event_id % 100) AS BIGINT) AS output_tokens FROM events GROUP BY 1, 2",
-        "template_render": "SELECT page_id, 'Broken link: ' || url || chr(10) || 'File: a.md ' || url AS prompt FROM pages",
+        "template_render": "SELECT page_id, 'Page a.md points to ' || url || '.' || chr(10) || 'Find what ' || url || ' became.' AS prompt FROM pages",
     }

@@ -35,20 +35,34 @@ def read_documents(spark: SparkSession, root: str, pattern: str = "**") -> DataF
     return out.where(F.col("path").rlike(glob_regex(pattern)))
 
 
+def matched_documents(spark: SparkSession, root: str, pattern: str) -> DataFrame:
+    """``read_documents``, failing with a hint if no file matches."""
+    found = read_documents(spark, root, pattern)
+    if found.select("path").isEmpty():
+        raise AppError(f"No files matched: {pattern}", f"Looked below {root}.")
+    return found
+
+
 def read_template(path: str) -> str:
     with open(path, encoding="utf-8") as f:
         return f.read()
 
 
 def write_documents(docs: DataFrame, path: str) -> None:
-    """``path, text`` rows as one file each below ``path``; a task that runs again writes the same files."""
+    """``path, text`` rows as one file each below ``path``; a task that runs again writes the same files.
+
+    ``path`` is a folder that all executors share.  A null text is an empty file; a path
+    that leaves the folder fails the write.
+    """
 
     def put(rows):
         for r in rows:
-            to = os.path.join(path, r["path"])
+            to = os.path.normpath(os.path.join(path, r["path"]))
+            if os.path.isabs(r["path"]) or not to.startswith(os.path.normpath(path) + os.sep):
+                raise ValueError(f"Path leaves the output folder: {r['path']}")
             os.makedirs(os.path.dirname(to), exist_ok=True)
             with open(to, "w", encoding="utf-8", newline="") as f:
-                f.write(r["text"])
+                f.write(r["text"] or "")
 
     docs.select("path", "text").foreachPartition(put)
 
@@ -59,7 +73,7 @@ def write_report(report: DataFrame, path: str) -> None:
 
 def log_rows(calls: DataFrame, path: str) -> None:
     """Append calls to a JSON-lines log, each with an ISO-8601 UTC time."""
-    stamp = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    stamp = F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
     calls.withColumn("timestamp", stamp).write.mode("append").json(path)
 
 

@@ -206,7 +206,7 @@ def test_glossary_files(spark, tmp_path):
     assert glossary.load_glossary(path) is None
     glossary.init_glossary(path)
     g = glossary.load_glossary(path)
-    assert g.languages == ["ja", "en"] and g.terms[0]["do_not_use"]["ja"][0] == "ＡＰＩ"
+    assert g.languages == ["en", "de"] and g.terms[0]["do_not_use"]["de"] == ["Rohrleitung"]
     with pytest.raises(FileExistsError):
         glossary.init_glossary(path)
     with pytest.raises(ValueError, match="languages"):
@@ -239,3 +239,25 @@ def test_delta_fold_and_stream(spark, tmp_path):
     seen = []
     deltas.follow(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), str(tmp_path / "cp"), lambda b, e: seen.append(b.count())).awaitTermination()
     assert sum(seen) == 5  # all but the empty delta that is not done
+
+
+def test_answers_without_content_and_repeated_ids(spark):
+    class Odd(translate.Provider):
+        def chat(self, messages, options):
+            return {} if "bad" in messages[-1]["content"] else {"content": messages[-1]["content"]}
+
+    translate.register("odd", lambda options: Odd())
+    docs = spark.createDataFrame([(1, "aaa"), (1, "bbb"), (2, "bad")], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["content"], (r["error"] or "")[:10]) for r in translate.translate(docs, "ja", provider="odd").where("content is not null").collect())
+    assert got == [(1, "aaa", ""), (1, "bbb", "")]
+    assert translate.translate(docs, "ja", provider="odd").where("error is not null").count() == 1
+
+
+def test_no_constants_in_json_and_no_files(spark, tmp_path):
+    from corpusloom.sources.files import AppError, matched_documents
+
+    bad = spark.createDataFrame([(1, '{"a": NaN}'), (2, '{"a": "b"}')], "doc_id long, text string")
+    assert [r["doc_id"] for r in jsonflat.parse_errors(bad).collect()] == [1]
+    (tmp_path / "a.md").write_text("x")
+    with pytest.raises(AppError, match="No files matched"):
+        matched_documents(spark, str(tmp_path), "*.txt")
