@@ -8,9 +8,12 @@ one path:
 ``recipes``   document, tokens, ids before it in its part, chunk ids, leaf hash;
               in ascending order of the id, part after part
 ``manifest``  part, documents, tokens, Merkle root of the part's leaves
+``root``      one row: parts, documents, tokens, Merkle root of the parts' roots
 
 Bodies hold little-endian ids of two bytes, or four if the vocabulary needs them.
-Reading checks every body against its id and every part against its root.
+Reading checks every body against its id, computes every leaf again from its
+recipe, every part's root from the leaves, and the store's root from the parts, so
+changed, missing or added rows of any table fail the read.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from .storage import new_path, removed, stored
 from .tokens import default_tokenizer, encoder
 
 #: Chunks end where the hash of the last WINDOW ids has MASK's bits zero, after LEAST and at MOST ids.
-WINDOW, MASK, LEAST, MOST = 16, 0xFF, 64, 1024
+WINDOW, MASK, LEAST, MOST = 16, 0x1FF, 128, 2048
 #: Chunk ids a task remembers to have written already.
 REMEMBERED = 200_000
 
@@ -42,21 +45,16 @@ def _mixed(ids: np.ndarray) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of a stream of ids."""
-    n, ends, last = len(ids), [], 0
-    if n > LEAST:
-        each = _mixed(ids)
-        rolling = each.copy()
-        for j in range(1, min(WINDOW, n)):
-            rolling[j:] += each[: n - j] << np.uint64(j)
-        for end in (np.flatnonzero((rolling >> np.uint64(40)) & np.uint64(MASK) == 0) + 1).tolist():
-            while end - last > MOST:
-                last += MOST
-                ends.append(last)
-            if end - last >= LEAST:
-                last = end
-                ends.append(end)
+def _ends(candidates: list[int], n: int) -> list[int]:
+    """Ends of the chunks of a stream of ``n`` ids that may end at ``candidates``."""
+    ends, last = [], 0
+    for end in candidates:
+        while end - last > MOST:
+            last += MOST
+            ends.append(last)
+        if end - last >= LEAST:
+            last = end
+            ends.append(end)
     while n - last > MOST:
         last += MOST
         ends.append(last)
@@ -65,6 +63,27 @@ def cuts(ids: np.ndarray) -> list[int]:
     return ends
 
 
+def cuts_of(ids: np.ndarray, bounds: np.ndarray) -> list[list[int]]:
+    """Ends of the chunks of each stream ``ids[bounds[i]:bounds[i + 1]]``, counted from its start.
+
+    One pass hashes all streams: the first ids' windows reach into the stream before,
+    but no chunk ends before ``LEAST``, which is more than ``WINDOW``, ids.
+    """
+    each = _mixed(ids)
+    rolling = each.copy()
+    for j in range(1, min(WINDOW, len(ids))):
+        rolling[j:] += each[: len(ids) - j] << np.uint64(j)
+    at = np.flatnonzero((rolling >> np.uint64(40)) & np.uint64(MASK) == 0) + 1
+    first = np.searchsorted(at, bounds[:-1] + LEAST)
+    after = np.searchsorted(at, bounds[1:], side="right")
+    return [_ends((at[i:j] - start).tolist(), end - start) if end - start > LEAST else [end - start] * (end > start) for i, j, start, end in zip(first.tolist(), after.tolist(), bounds[:-1].tolist(), bounds[1:].tolist())]
+
+
+def cuts(ids: np.ndarray) -> list[int]:
+    """Ends of the chunks of one stream of ids."""
+    return cuts_of(np.asarray(ids), np.array([0, len(ids)]))[0]
+
+
 def chunk_id(body: bytes) -> bytes:
     return hashlib.blake2b(body, digest_size=16).digest()
 
@@ -100,17 +119,19 @@ def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part, rows = batch.slice(at, 500), []
-                for doc_id, t in zip(part.column(0).to_pylist(), part.column(1)):
-                    ids = np.frombuffer(text.encode(t.as_py()) + tail, "<u4")
-                    small, ends = ids.astype(kind), cuts(ids)
-                    bodies = [small[a:b].tobytes() for a, b in zip([0, *ends], ends)]
+                streams = [text.encode(t.as_py()) + tail for t in part.column(1)]
+                bounds = np.concatenate([[0], np.cumsum([len(x) // 4 for x in streams])])
+                ids = np.frombuffer(b"".join(streams), "<u4")
+                small, width = ids.astype(kind).tobytes(), np.dtype(kind).itemsize
+                for doc_id, start, end, ends in zip(part.column(0).to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), cuts_of(ids, bounds)):
+                    bodies = [small[width * (start + a) : width * (start + b)] for a, b in zip([0, *ends], ends)]
                     names = [chunk_id(b) for b in bodies]
                     for i, name in enumerate(names):
                         if name in seen:
                             bodies[i] = None
                         elif len(seen) < REMEMBERED:
                             seen[name] = None
-                    rows.append((uid, doc_id, len(ids), names, bodies))
+                    rows.append((uid, doc_id, end - start, names, bodies))
                     uid += 1
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.binary())]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["uid", "doc_id", "n_tokens", "names", "bodies"])
@@ -127,21 +148,6 @@ def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
             kinds = [pa.int64()] * 6 + [pa.list_(pa.binary()), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds], ["part", "at", "uid", "doc_id", "n_tokens", "start", "names", "leaf"])
 
-    def roots(batches):
-        now, leaves, n, out = None, [], 0, []
-
-        for batch in batches:
-            for part, _, tokens, own in zip(*(c.to_pylist() for c in batch.columns)):
-                if part != now and now is not None:
-                    out.append((now, len(leaves), n, merkle_root(leaves)))
-                    leaves, n = [], 0
-                now, n = part, n + tokens
-                leaves.append(own)
-        if now is not None:
-            out.append((now, len(leaves), n, merkle_root(leaves)))
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)] if out else [pa.array([], k) for k in kinds], ["part", "docs", "tokens", "root"])
-
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("t"))
     staging = new_path(spark, "staging")
@@ -150,8 +156,8 @@ def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
     stored(pairs.groupBy("id").agg(F.first("body").alias("body")), "", f"{path}/chunks")
     by_id = staged.select("uid", "doc_id", "n_tokens", "names").repartitionByRange(F.col("doc_id").asc_nulls_first(), "uid").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "uid")
     recipes = stored(by_id.mapInArrow(ordered, "part long, at long, uid long, doc_id long, n_tokens long, start long, names array<binary>, leaf binary"), "", f"{path}/recipes")
-    leaves = recipes.select("part", "at", "n_tokens", "leaf").repartition("part").sortWithinPartitions("part", "at")
-    stored(leaves.mapInArrow(roots, "part long, docs long, tokens long, root binary"), "", f"{path}/manifest")
+    manifest = stored(_roots(recipes), "", f"{path}/manifest")
+    stored(_root(spark, manifest), "", f"{path}/root")
     removed(spark, staging)
 
 
@@ -159,30 +165,48 @@ def _wrong(what: str):
     raise ValueError(f"the store does not verify: {what}")
 
 
-def _checked(spark: SparkSession, path: str) -> DataFrame:
-    """The recipes, each with the ids before its part; a part whose leaves do not give its root fails the read."""
+def _part_roots(batches):
+    """One row for each part, whose recipes come together and in order; leaves are computed, not believed."""
+    now, leaves, n, out = None, [], 0, []
+    for batch in batches:
+        for part, at, doc_id, tokens, start, names, own in zip(*(c.to_pylist() for c in batch.columns)):
+            if part != now:
+                if now is not None:
+                    out.append((now, len(leaves), n, merkle_root(leaves)))
+                now, leaves, n = part, [], 0
+            if at != len(leaves) or start != n or own != leaf(doc_id, tokens, names):
+                _wrong(f"recipe {at} of part {part}")
+            leaves.append(own)
+            n += tokens
+    if now is not None:
+        out.append((now, len(leaves), n, merkle_root(leaves)))
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip([*zip(*out)] or [[]] * 4, kinds)], ["part", "docs", "tokens", "root"])
 
-    def verified(batches):
-        now, leaves, root = None, [], None
 
-        def end():
-            if now is not None and merkle_root(leaves) != root:
-                _wrong(f"part {now}")
-            return pa.RecordBatch.from_arrays([pa.array([now] if now is not None else [], pa.int64())], ["ok"])
+def _roots(recipes: DataFrame) -> DataFrame:
+    """``part, docs, tokens, root`` computed from the recipes."""
+    ordered = recipes.select("part", "at", "doc_id", "n_tokens", "start", "names", "leaf").repartition("part").sortWithinPartitions("part", "at")
+    return ordered.mapInArrow(_part_roots, "part long, docs long, tokens long, root binary")
 
-        for batch in batches:
-            for part, _, own, r in zip(*(c.to_pylist() for c in batch.columns)):
-                if part != now:
-                    yield end()
-                    now, leaves, root = part, [], r
-                leaves.append(own)
-        yield end()
 
+def _root(spark: SparkSession, manifest: DataFrame) -> DataFrame:
+    """One row for the whole store; a part is a task's output, so parts are few."""
+    rows = manifest.orderBy("part").collect()
+    whole = merkle_root([hashlib.blake2b(repr((r["part"], r["docs"], r["tokens"])).encode() + bytes(r["root"]), digest_size=16).digest() for r in rows])
+    return spark.createDataFrame([(len(rows), sum(r["docs"] for r in rows), sum(r["tokens"] for r in rows), bytearray(whole))], "parts long, docs long, tokens long, root binary")
+
+
+def _checked(spark: SparkSession, path: str) -> DataFrame:
+    """The recipes, each with the ids before its part; what does not verify fails the read."""
     recipes, manifest = spark.read.parquet(f"{path}/recipes"), spark.read.parquet(f"{path}/manifest")
-    leaves = recipes.select("part", "at", "leaf").join(manifest.select("part", "root"), "part").repartition("part").sortWithinPartitions("part", "at")
-    ok = leaves.mapInArrow(verified, "ok long").count()
-    if ok != manifest.count():
-        _wrong("parts")
+    found = _roots(recipes)
+    said = manifest.select("part", *[F.col(c).alias(f"_{c}") for c in ("docs", "tokens", "root")])
+    alike = (F.col("docs") == F.col("_docs")) & (F.col("tokens") == F.col("_tokens")) & (F.col("root") == F.col("_root"))
+    if not found.join(said, "part", "full").where(~F.coalesce(alike, F.lit(False))).isEmpty():
+        _wrong("parts and manifest")
+    if [tuple(r) for r in spark.read.parquet(f"{path}/root").collect()] != [tuple(r) for r in _root(spark, manifest).collect()]:
+        _wrong("manifest and root")
     before = F.sum("tokens").over(Window.orderBy("part")) - F.col("tokens")  # one row a part
     return recipes.join(manifest.select("part", before.alias("before")), "part")
 

@@ -144,16 +144,48 @@ def test_store_round_trip_and_damage(spark, docs, empty):
     chunks = spark.read.parquet(f"{path}/chunks")
     assert chunks.select("id").distinct().count() == chunks.count()
     broken = new_path(spark, "broken")
-    for t in ("recipes", "manifest"):
+    for t in ("recipes", "manifest", "root"):
         spark.read.parquet(f"{path}/{t}").write.parquet(f"{broken}/{t}")
     chunks.withColumn("body", F.when(F.length("body") > 20, F.concat(F.lit(b"xx"), F.substring("body", 3, 100_000))).otherwise(F.col("body"))).write.parquet(f"{broken}/chunks")
     with pytest.raises(Exception, match="does not verify"):
         store.digests(spark, broken).collect()
+    recipes, manifest = spark.read.parquet(f"{path}/recipes"), spark.read.parquet(f"{path}/manifest")
+    damages = {
+        "recipes": [recipes.withColumn("names", F.reverse("names")), recipes.withColumn("doc_id", F.col("doc_id") + 100), recipes.where("at <> 0"), recipes.where(F.col("part") != manifest.agg(F.min("part")).first()[0])],
+        "manifest": [manifest.where(F.col("part") != manifest.agg(F.min("part")).first()[0]), manifest.withColumn("tokens", F.col("tokens") + 1)],
+    }
+    for table, versions in damages.items():
+        for version in versions:
+            harmed = new_path(spark, "harmed")
+            for t in ("chunks", "recipes", "manifest", "root"):
+                (version if t == table else spark.read.parquet(f"{path}/{t}")).write.parquet(f"{harmed}/{t}")
+            for read in (store.digests, store.read):
+                with pytest.raises(Exception, match="does not verify"):
+                    read(spark, harmed).collect()
+    gone = new_path(spark, "gone")  # a part that is missing from recipes and manifest alike
+    least = manifest.agg(F.min("part")).first()[0]
+    for t in ("chunks", "recipes", "manifest", "root"):
+        table = spark.read.parquet(f"{path}/{t}")
+        (table.where(F.col("part") != least) if "part" in table.columns else table).write.parquet(f"{gone}/{t}")
+    with pytest.raises(Exception, match="does not verify"):
+        store.digests(spark, gone).collect()
     none = new_path(spark, "none")
     store.write(empty, none)
     assert store.digests(spark, none).count() == 0
 
 
+def test_cuts_follow_content():
+    rng = np.random.default_rng(3)
+    ids = rng.integers(0, 50_000, 30_000).astype(np.uint32)
+    bounds = np.array([0, 5, 5, 140, 20_000, 30_000])
+    assert store.cuts_of(ids, bounds) == [store.cuts(ids[a:b]) for a, b in zip(bounds, bounds[1:])]
+    ends = store.cuts(ids)
+    sizes = np.diff([0, *ends])
+    assert ends[-1] == len(ids) and sizes.max() <= store.MOST and sizes[:-1].min() >= store.LEAST
+    moved = store.cuts(np.concatenate([ids[:777], ids]))
+    assert len({e - 777 for e in moved} & {*ends}) > 0.9 * len(ends)
+
+
 def test_crc_of_joined_parts():
     parts = [bytes([i]) * (4 * n) for i, n in enumerate((1, 5, 3000, 1, 2_000_000))]
     after = np.cumsum([len(p) // 4 for p in parts][::-1])[::-1] - [len(p) // 4 for p in parts]
