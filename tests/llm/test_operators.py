@@ -246,9 +246,46 @@ def test_html():
     assert htmltext.main_text("<p>broken <b>mark<i>up").startswith("broken markup")
 
 
+def test_html_regions_follow_their_ratios():
+    rng = random.Random(5)
+    words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(n))
+    for _ in range(60):
+        lines = [words(rng.randint(1, 6)), *(words(rng.randint(1, 120)) for _ in range(rng.randint(1, 9)))]
+        body = f"<h1>{lines[0]}</h1>" + "".join(f"<p>{x}</p>" for x in lines[1:])
+        page = lambda tag: f"<html><body><nav><ul>{''.join(f'<li><a href=x>{words(2)}</a></li>' for _ in range(5))}</ul></nav><div class='ad'>{words(8)}</div><{tag}>{body}</{tag}><div id='comments'><p>{words(30)}</p></div><footer>&copy; {words(6)}</footer>"  # noqa: E731, B023
+        assert htmltext.main_text(page("article")) == htmltext.main_text(page("div")) == "\n".join(lines)
+
+
+def test_html_smoothing_and_threshold_equal_brute_force():
+    rng = random.Random(6)
+    for _ in range(200):
+        v, r = [rng.random() * 9 for _ in range(rng.randint(1, 12))], []
+        for _ in v:
+            r.append(rng.randint(0, 2))
+        got = htmltext.smoothed(v, r, 1.0)
+        for i in range(len(v)):
+            w = {j: math.exp(-((i - j) ** 2) / 2) * (1 if r[i] == r[j] else htmltext.BORDER) for j in range(len(v)) if abs(i - j) <= 2}
+            assert math.isclose(got[i], sum(v[j] * w[j] for j in w) / sum(w.values()))
+        cut = htmltext.threshold(v)
+        low, high = [x for x in v if x < cut], [x for x in v if x >= cut]
+        assert not low or math.isclose(cut, (sum(low) / len(low) + sum(high) / len(high)) / 2)
+
+
+def test_html_without_ratios_is_another_text(monkeypatch):
+    page = "<nav><a href=x>Menu</a></nav><div>" + "".join(f"<p>{'words of a paragraph ' * 9}</p>" for _ in range(4)) + "</div><footer>Some words at the foot</footer>"
+    right = htmltext.main_text(page)
+    monkeypatch.setattr(htmltext, "smoothed", lambda v, r, s: [9.0] * len(v))
+    assert htmltext.main_text(page) != right and "Menu" in htmltext.main_text(page) and "Menu" not in right
+
+
 def test_html_frame(spark):
-    df = spark.createDataFrame([(1, "<p>a b c</p>"), (2, None)], "page_id long, html string")
-    assert [(r["page_id"], r["text"]) for r in htmltext.extract(df).orderBy("page_id").collect()] == [(1, "a b c"), (2, "")]
+    deep = "<div>" * 3000 + "<p>" + "long words " * 5000 + "</p>"
+    rows = [(1, "<p>a b c</p>", "own"), (2, None, "own"), (2, None, "own"), (3, deep, "own"), (4, "", None)]
+    df = spark.createDataFrame(rows, "page_id long, html string, text string")
+    want = [(1, "a b c"), (2, ""), (2, ""), (3, ("long words " * 5000).strip()), (4, "")]
+    assert [(r["page_id"], r["text"]) for r in htmltext.extract(df).orderBy("page_id").collect()] == want
+    assert {(r["text"], r["main"]) for r in htmltext.extract(df, to="main").where("page_id = 1").collect()} == {("own", "a b c")}
+    assert htmltext.extract(df.limit(0)).count() == 0
 
 
 def test_nearest_neighbours_recall(spark):
