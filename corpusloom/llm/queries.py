@@ -6,10 +6,10 @@ from .additive import op2_additive
 from .hmm import op10_hmm
 from .htmltext import op9_html
 from .lines import op1_lines
-from .mixing import op4_mixing
+from .mixing import OP4_SQL, op4_mixing
 from .packing import op3_packing
 from .passages import op8_passages
-from .quality import op7_quality
+from .quality import OP7_SQL, op7_quality
 from .simhash import op6_simhash
 from .store import op5_store
 
@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_mixing": OP4_SQL, "op7_quality": OP7_SQL}

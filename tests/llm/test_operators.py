@@ -10,8 +10,10 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from corpusloom.llm import additive, components, crc, hmm, htmltext, lines, mixing, packing, passages, quality, quality_counts, simhash, store, tokens
+from corpusloom.llm import additive, components, crc, hmm, htmltext, line_prints, lines, mixing, packing, passages, quality, quality_counts, simhash, store, tokens
+from corpusloom.llm import queries as llm_queries
 from corpusloom.llm.storage import new_path
+from tests.oracle import connect, differences
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, node long, fp long, h1 string, rank int"
 
@@ -219,6 +221,39 @@ def test_quality_thresholds(spark, empty):
     assert quality.judge(empty).count() == quality.quality_filter(empty).count() == 0
 
 
+def test_quality_fences_equal_brute_force(spark):
+    rng = random.Random(9)
+    rows = [(rng.choice(["en", "de", None]), rng.choice(["a", "a", "b", None]), *(rng.choice([0, 0, rng.randint(0, 900)]) for _ in range(4))) for _ in range(700)]
+    df = spark.createDataFrame(rows, "lang string, source string, word_length long, symbol_share long, line_share long, repeat_share long")
+    got = {(r["lang"], r["source"]): r for r in quality.thresholds(quality.sketches(df)).collect()}
+    low_bits = lambda v: v >> max(0, v.bit_length() - 7) << max(0, v.bit_length() - 7)
+    assert set(got) == {r[:2] for r in rows}
+    for k, (rate, (_, tenths)) in enumerate(quality.RATES.items()):
+        values = [(r[0], r[1], low_bits(r[2 + k])) for r in rows]
+        for lang, source in got:
+            w = Counter()
+            for keep, scale in ((lambda v: v[:2] == (lang, source), None), (lambda v: v[0] == lang, 1), (lambda v: True, 1)):  # noqa: B023
+                level = Counter(v[2] for v in values if keep(v))
+                for b, n in level.items():
+                    w[b] += quality.UNIT * n if scale is None else quality.PRIOR * quality.UNIT * n // sum(level.values())
+            total, upto, q = sum(w.values()), 0, {}
+            for b in sorted(w):
+                upto += w[b]
+                for i in (1, 2, 3):
+                    if 4 * upto >= i * total:
+                        q.setdefault(i, b)
+            tail = lambda side: (lambda n: sum(x * abs(b - q[2]) for b, x in n) // sum(x for _, x in n) if n else 0)([(b, x) for b, x in w.items() if (b - q[2]) * side > 0])  # noqa: E731, B023
+            r = got[(lang, source)]
+            assert r["high"][rate] == q[3] + quality.RANGES * (q[3] - q[1]) + tenths * tail(1) // 10
+            assert r["low"][rate] == q[1] - quality.RANGES * (q[3] - q[1]) - tenths * tail(-1) // 10
+
+
+@pytest.mark.parametrize("name", sorted(llm_queries.oracle_sql()))
+def test_query_equals_sql(spark, name):
+    sf = "/root/testdata/sf0.001"
+    assert differences(llm_queries.queries()[name](spark, sf), connect(sf), llm_queries.oracle_sql()[name]) == []
+
+
 def test_mixing_windows_and_deviation(spark, docs, empty):
     weights = {"a": 5, "b": 3, "c": 1, "d": 7}
     plan = mixing.schedule(weights)
@@ -226,8 +261,12 @@ def test_mixing_windows_and_deviation(spark, docs, empty):
     for t in range(1, 17):
         done = Counter(s for slot, s, *_ in plan if slot < t)
         assert all(abs(done[s] - t * w / 16) < 1 for s, w in weights.items())
-    assert sum(mixing.whole_weights({"x": 1.0, "y": 1e-9, None: 3.0}, 10).values()) == 10
-    rows = mixing.mix(docs, block=2, buckets=4, slots=10).collect()
+    few = mixing.whole_weights({"x": 1.0, "y": 1e-9, None: 3.0}, 10)
+    assert sum(few.values()) == 3 * mixing.SLOTS_A_SOURCE and few["y"] == 1
+    many = {i: 1.0 for i in range(2000)} | {"hot": 1000.0}
+    period = sum(mixing.whole_weights(many).values())
+    assert abs(mixing.whole_weights(many)["hot"] / period - 1 / 3) < 0.001
+    rows = mixing.mix(docs, block=2, bucket=5, slots=10).collect()
     assert Counter(r["doc_id"] for r in rows) == Counter(r[0] for r in corpus())
     slots = defaultdict(list)
     for r in rows:
@@ -236,6 +275,12 @@ def test_mixing_windows_and_deviation(spark, docs, empty):
     for found in slots.values():
         assert len({x[:2] for x in found}) == 1 and sorted(x[2] for x in found) == [*range(len(found))]
     assert mixing.mix(empty).count() == 0 and mixing.mixed(docs, block=2).columns == docs.columns
+    alike = {(r["doc_id"], r["source"]): r for r in mixing.mix(docs, block=2, bucket=1000, slots=10).collect() if r["doc_id"] is not None}
+    assert all(alike[(r["doc_id"], r["source"])]["mix_slot"] == r["mix_slot"] for r in rows if (r["doc_id"], r["source"]) in alike)
+    own = docs.withColumn("mix_notes", F.lit("n")).withColumn("mix_slot", F.lit("own")).withColumn("mix_block", F.col("doc_id"))
+    back = mixing.mixed(own, block=2)
+    assert back.columns == own.columns and {(r["mix_notes"], r["mix_slot"]) for r in back.collect()} == {("n", "own")}
+    assert all(r["mix_block"] == r["doc_id"] for r in back.collect())
 
 
 def test_html():
@@ -315,12 +360,11 @@ def test_line_dedup(spark, empty):
     near = " ".join(f"word{i}" for i in range(120))
     rows = [(1, "one two three four\nkeep me here now\nx", "own"), (2, "One, two  THREE four!\nother text that differs\nx\n", "own"), (3, None, "own"), (4, "", "own"), (None, "one two three four\nlast line of its own", "own"), (7, "other text that differs", "own"), (8, "one two three four", "own"), (8, "one two three four", "own"), (10, near, "own"), (11, near + " x", "own")]
     df = spark.createDataFrame(rows, "doc_id long, text string, node string")
-    got = lines.dedup_lines(df, counts=True, bits=3).collect()
+    got = lines.dedup_lines(df, counts=True, least_words=3).collect()
     texts = defaultdict(list)
     for r in got:
         texts[r["doc_id"]].append(r["text"])
-    near_linked = bin((lambda v: (v[0] ^ v[1]) % (1 << 64))([r["s"] for r in spark.createDataFrame([(near,), (near + " x",)], "t string").select(lines.simhash(F.split("t", " ")).alias("s")).collect()])).count("1") <= 3
-    assert texts == {1: [rows[0][1]], 2: ["other text that differs\nx\n"], 3: [None], 4: [""], None: ["last line of its own"], 7: [""], 8: ["", ""], 10: [near], 11: ["" if near_linked else near + " x"]}
+    assert texts == {1: [rows[0][1]], 2: ["other text that differs\nx\n"], 3: [None], 4: [""], None: ["last line of its own"], 7: [""], 8: ["", ""], 10: [near], 11: [""]}
     assert lines.dedup_lines(empty).count() == 0 and lines.dedup_lines(df).columns == df.columns
 
 
@@ -348,20 +392,62 @@ def test_line_dedup_tells_rows_apart(spark):
     assert [i for i, t in got if "alpha beta gamma" in t] == [5] and (6, "") in got
 
 
-def test_line_simhash_and_candidates(spark):
-    texts = [[f"w{i}" for i in range(n)] for n in (1, 2, 63, 127, 128, 500)]
-    df = spark.createDataFrame([(t,) for t in texts], "w array<string>").select("w", lines.simhash(F.col("w")).alias("s"), F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
-    for r in df.collect():
-        assert r["s"] % (1 << 64) == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in r["h"]) > len(r["h"]))
-    rng = random.Random(9)
-    base = rng.getrandbits(63)
-    fps = [base ^ sum(1 << b for b in rng.sample(range(63), rng.randint(0, 4))) for _ in range(60)]
-    nodes = spark.createDataFrame([(i, f, i) for i, f in enumerate(fps)], "node long, fp long, comp long")
-    want = {(i, j) for j in range(60) for i in range(j) if bin(fps[i] ^ fps[j]).count("1") <= 3}
-    got = [tuple(r) for r in lines.candidates(nodes).collect()]
-    assert set(got) == want and len(got) == len(want)
-    assert {r["node"] for r in lines.with_partner(nodes).collect()} == {x for p in want for x in p}
-    assert {tuple(sorted(r)) for r in lines.leaders(nodes).collect()} <= want
+def test_line_prints_equal_brute_force(spark):
+    rng = random.Random(7)
+    texts = [" ".join(rng.choice(["w", "x", "yy"]) + str(rng.randint(0, 40)) for _ in range(n)) for n in (1, 2, 8, 63, 126, 127, 128, 129, 700)]
+    rows = [(i, t, len(t.split()), len(t)) for i, t in enumerate(texts)]
+    nodes = spark.createDataFrame(rows, "node long, norm string, words int, chars int")
+    hashed = {r["node"]: (r["h"], r["again"]) for r in nodes.select("node", F.transform(F.split("norm", " "), lambda w: F.xxhash64(w)).alias("h"), F.transform(F.split("norm", " "), lambda w: F.xxhash64(F.xxhash64(w))).alias("again")).collect()}
+    bits = lambda hs: sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+    got = line_prints.prints(nodes).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        h, again = hashed[r["node"]]
+        assert r["fp"] % (1 << 64) == bits(h) and (r["words"] > 127 or r["more"] % (1 << 64) == bits(again))
+        for g in range(8):
+            own = [x % (1 << 64) for x in h if (x % (1 << 64)) >> 3 & 7 == g]
+            assert (r[f"b{g}"] or 0) == sum(x >> 24 for x in own)
+            assert r["counts"] is None or r["counts"] >> 7 * g & 127 == len(own)
+
+
+def test_line_dedup_equals_brute_force(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 8)))
+    base = [[word() for _ in range(rng.choice([1, 2, 3, 5, 9, 14, 25, 40, 200]))] for _ in range(60)]
+    def edited(words):
+        words = [*words]
+        for _ in range(rng.randint(0, 1)):  # so two differ in no more than two words, which blocks find for sure
+            i = rng.randrange(len(words))
+            words[i] = words[i][:-1] + "z" if len(words) < 12 else word()
+        return " ".join(words).capitalize() + rng.choice(["", ".", " !"])
+    rows = [(rng.choice([None, *range(25)]), "\n".join(rng.choice(["", "--", edited(rng.choice(base)), edited(rng.choice(base))]) for _ in range(rng.randint(1, 6)))) for _ in range(40)]
+    rows += [(3, None), (4, ""), rows[0], rows[0]]
+    def norm(line):
+        return " ".join("".join(c if c.isalnum() else " " for c in line.lower()).split())
+    def distance(a, b):
+        p = np.arange(len(b) + 1)
+        y = np.frombuffer(b.encode("utf-32-le"), np.uint32)
+        for i, c in enumerate(np.frombuffer(a.encode("utf-32-le"), np.uint32), 1):
+            q = np.concatenate([[i], np.minimum(p[1:] + 1, p[:-1] + (y != c))])
+            p = np.minimum.accumulate(q - np.arange(len(q))) + np.arange(len(q))
+        return int(p[-1])
+    nodes = sorted({norm(x) for _, t in rows for x in (t or "").split("\n")} - {""})
+    near = lambda a, b: min(len(a), len(b)) >= 0.8 * max(len(a), len(b)) and distance(a, b) <= 0.2 * max(len(a), len(b)) + 1e-9
+    root = dict(zip(nodes, classes(len(nodes), lambda i, j: near(nodes[i], nodes[j]))))
+    order = {h: i for i, h in enumerate(sorted({(r["t"] or "", r["h"]) for r in spark.createDataFrame(rows, "d long, t string").select("t", F.xxhash64("t").alias("h")).collect()}, key=lambda x: x[1]))}
+    hashes = {t: h for t, h in order}
+    seen, want = set(), []
+    for d, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, hashes[r[1] or ""] if r[1] is not None else 0)):
+        left = []
+        for x in (t or "").split("\n"):
+            k = root.get(norm(x))
+            if k is None or k not in seen:
+                left.append(x)
+            seen |= {k} if k is not None else set()
+        want.append((d, None if t is None else "\n".join(left)))
+    got = [(r["doc_id"], r["text"]) for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    assert sorted(got, key=key) == sorted(want, key=key)
 
 
 def test_passages(spark, empty):
