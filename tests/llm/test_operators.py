@@ -466,6 +466,31 @@ def test_passages(spark, empty):
     left = {r["doc_id"]: r["text"] for r in passages.drop_repeated_passages(df).collect()}
     assert len(left[101].split()) == 100 and left[100] == rows[20][1] and left[105] is None
     assert passages.repeated_passages(empty).count() == 0
+    both = spark.createDataFrame(rows, "doc_id long, text string")  # another row of id 101
+    kept = [r["text"] for r in passages.drop_repeated_passages(both).where("doc_id = 101").collect()]
+    assert len(kept) == 2 and "other" in kept
+    assert passages.drop_repeated_passages(both).where("doc_id is null").first()["text"] == " ".join(exact)
+
+
+def test_passages_between_two_later_documents(spark):
+    rng = random.Random(21)
+    w = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(n)]
+    p = w(80)
+    rows = [(1, " ".join(w(30) + p[:40] + w(30))), (2, " ".join(w(30) + p[40:] + w(30))), (10, " ".join(w(20) + p + w(20))), (11, " ".join(w(25) + p + w(25)))]
+    got = [(r["doc_id"], r["source_id"], r["start"], r["words"], r["equal"]) for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert got == [(11, 10, 25, 80, 80)]
+
+
+@pytest.mark.parametrize("size", [6, 80, 150, 2000])
+def test_passages_of_long_words_are_whole(spark, size):
+    rng = random.Random(size)
+    w = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(size)) for _ in range(n)]
+    rows = []
+    for i in range(6):
+        p = w(55)
+        rows += [(2 * i, " ".join(w(60) + p + w(60))), (2 * i + 1, " ".join(w(70) + p + w(70)))]
+    got = sorted((r["doc_id"], r["source_id"], r["start"], r["words"]) for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(2 * i + 1, 2 * i, 70, 55) for i in range(6)]
 
 
 def test_passages_of_hot_and_other_seeds_are_the_same(spark, monkeypatch):
