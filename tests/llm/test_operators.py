@@ -339,7 +339,7 @@ def test_nearest_neighbours_recall(spark):
     x[7] = x[8]
     rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(5000, None), (5001, [0.0] * 16), (5002, [float("nan")] * 16), (None, [1.0] * 16), (3, [float(v) for v in x[3]])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
-    out = additive.search(df, df.where("vec_id % 100 = 0"), k=10, codebooks=4, entries=32, shortlist=200, block=128, query_block=4, deals=3).collect()
+    out = additive.search(df, df.where("vec_id % 100 = 0"), k=10, codebooks=4, entries=32, shortlist=200, block=128, query_block=4, part=100).collect()
     got = defaultdict(list)
     for r in sorted(out, key=lambda r: (r["query_id"], r["rank"])):
         got[r["query_id"]].append((r["vec_id"], r["score"]))
@@ -352,10 +352,29 @@ def test_nearest_neighbours_recall(spark):
         hits += len({v for v, _ in found} & {*best.tolist()})
         assert len(found) == 10 and all(abs(d[v] - s) < 1e-9 for v, s in found) and found == sorted(found, key=lambda p: (p[1], p[0]))
     assert hits >= 0.9 * 10 * len(got)
+    clash = df.withColumn("id", F.lit("x")).withColumn("vector", F.lit(0)).withColumn("cell", F.lit(None))
+    again = additive.search(clash, clash.where("vec_id % 100 = 0"), k=10, codebooks=4, entries=32, shortlist=200, block=128, query_block=4, part=100).collect()
+    assert sorted(map(tuple, again)) == sorted(map(tuple, out))
     few = additive.search(df.where("vec_id < 4"), df.where("vec_id = 0")).collect()
     assert [r["rank"] for r in sorted(few)] == [1, 2, 3] and additive.search(df.where("vec_id < 0"), df).count() == 0
 
 
+def test_nearest_neighbours_recall_on_embeddings(spark):
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = [r for r in table.collect() if r["embedding"] is not None and all(v is not None and np.isfinite(v) for v in r["embedding"]) and any(r["embedding"])]
+    ids, x = np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows], np.float64)
+    got = defaultdict(set)
+    for r in additive.search(table, table.where("vec_id % 100 = 0"), shortlist=200).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    hits = wanted = 0
+    for q in ids[ids % 100 == 0]:
+        d = ((x - x[ids == q][0]) ** 2).sum(1)
+        d[ids == q] = np.inf
+        best = ids[np.lexsort((ids, d))[:10]]
+        hits, wanted = hits + len({*best.tolist()} & got[q]), wanted + 10
+    assert hits >= 0.95 * wanted
+
+
 def test_line_dedup(spark, empty):
     near = " ".join(f"word{i}" for i in range(120))
     rows = [(1, "one two three four\nkeep me here now\nx", "own"), (2, "One, two  THREE four!\nother text that differs\nx\n", "own"), (3, None, "own"), (4, "", "own"), (None, "one two three four\nlast line of its own", "own"), (7, "other text that differs", "own"), (8, "one two three four", "own"), (8, "one two three four", "own"), (10, near, "own"), (11, near + " x", "own")]
