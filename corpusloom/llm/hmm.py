@@ -2,10 +2,10 @@
 
 States emit word classes.  The most frequent words are classes of their own; all
 other words, unknown ones too, fall into a fixed number of classes by their last
-bytes, and inside such a class a word has its add-one share of training tokens.
-So the model is a proper distribution over any text, while what every task holds
-stays bounded: the frequent words and one row of numbers for each class.  Counts
-of words beyond the lookup come by a join.
+bytes, and inside such a class a word has its add-one share of training tokens, an
+unknown one the share of one.  What every task holds stays bounded: the frequent
+words and one row of numbers for each class.  Counts of words beyond the lookup,
+which grow with the input, come by a join.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ HEAD, LOOKUP, BINS = 20_000, 100_000, 1024
 STATES, ROUNDS = 8, 4
 #: Classes whose company in documents gives the states' first guess.
 ANCHORS = 128
-#: Tokens of one training sequence; longer texts train in pieces, and are scored whole.
+#: Tokens of a longer text whose recursion is held at once; the recursion itself runs through the whole text.
 SEGMENT = 8192
 #: Words one task counts before it hands on its counts.
 HELD = 300_000
@@ -112,19 +112,17 @@ def lexicon(words: DataFrame, head: int = HEAD, lookup: int = LOOKUP) -> Lexicon
     """``words``: a stored vocabulary."""
     total = words.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     is_end = F.col("word") == F.lit(bytearray(END))
-    # the least count that no more than ``lookup`` words reach, from counts in log-linear buckets: a few thousand rows at most
-    least, above = 1, 0
+    # the least count that no more than ``lookup`` words reach, from counts in log-linear buckets: a few thousand rows
+    # at most; of the bucket that holds the limit as many words as fit, by their hashes
+    least, share, above = 1, 1.0, 0
     for r in sorted(words.where(~is_end).groupBy(bucket(F.col("c")).alias("c")).count().collect(), key=lambda r: -r["c"]):
-        above += r["count"]
-        if above >= lookup:
+        if above + r["count"] > lookup:
+            least, share = r["c"], (lookup - above) / r["count"]
             break
-        least = r["c"]
-    else:
-        least = 1
-    if above >= lookup and least == 1:
-        least = 1 << 62  # not even the most frequent words fit
-    rows = words.where(is_end | (F.col("c") >= least)).collect()
-    rest = {r["bin"]: r["t"] for r in words.where(~is_end & (F.col("c") < least)).groupBy("bin").agg(F.sum(F.col("c") + 1).alias("t")).collect()}
+        above += r["count"]
+    looked_up = (bucket(F.col("c")) > least) | (bucket(F.col("c")) == least) & (F.pmod(F.xxhash64("word"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    rows = words.where(is_end | looked_up).collect()
+    rest = {r["bin"]: r["t"] for r in words.where(~is_end & ~looked_up).groupBy("bin").agg(F.sum(F.col("c") + 1).alias("t")).collect()}
     return Lexicon(rows, rest, total["n"] or 0, total["v"], head)
 
 
@@ -174,6 +172,40 @@ class Model:
         return gammas[-1].sum(0), moves * self.move, emit
 
 
+    def expected_long(self, sequence: np.ndarray, step: int = SEGMENT):
+        """``expected`` of one sequence, holding ``step`` tokens of the recursion at a time.
+
+        The forward recursion keeps its state before each piece; pieces are then taken from
+        the last on, each run forward again and back with what came after it.
+        """
+        states = len(self.start)
+        pieces = [sequence[i : i + step] for i in range(0, len(sequence), step)]
+
+        def forward(piece, before):
+            now, scale, e = np.empty((len(piece), states)), np.empty(len(piece)), self.emit[piece]
+            for t in range(len(piece)):
+                now[t] = (self.start if before is None else before @ self.move) * e[t]
+                scale[t] = now[t].sum()
+                before = now[t] = now[t] / scale[t]
+            return now, scale, e
+
+        entries, before = [], None
+        for piece in pieces:
+            entries.append(before)
+            before = forward(piece, before)[0][-1]
+        moves, emit, ahead = np.zeros((states, states)), np.zeros_like(self.emit), None
+        for piece, before in zip(reversed(pieces), reversed(entries)):
+            now, scale, e = forward(piece, before)
+            for t in range(len(piece) - 1, -1, -1):
+                if ahead is not None:
+                    moves += np.outer(now[t], ahead)
+                beta = self.move @ ahead if ahead is not None else np.ones(states)
+                gamma = now[t] * beta
+                emit[piece[t]] += gamma
+                ahead = e[t] * beta / scale[t]
+        return gamma, moves * self.move, emit
+
+
 def groups(sequences: list[np.ndarray], most: int = 256, cells: int = 400_000):
     """Indexes of sequences in groups sorted by falling length, so that a group's recursion runs at once."""
     order = sorted(range(len(sequences)), key=lambda i: -len(sequences[i]))
@@ -244,7 +276,12 @@ def _trained(coded: DataFrame, lex: Lexicon, states: int, rounds: int) -> Model:
         def counts(batches, shared=shared):
             own, start, moves, emit = shared.value, np.zeros(states), np.zeros((states, states)), np.zeros((size, states))
             for batch in batches:
-                parts = [c[i : i + SEGMENT] for c in _classes(batch.column(0)) for i in range(0, len(c), SEGMENT)]
+                found = _classes(batch.column(0))
+                for c in found:
+                    if len(c) > SEGMENT:
+                        s, m, e = own.expected_long(c)
+                        start, moves, emit = start + s, moves + m, emit + e
+                parts = [c for c in found if len(c) <= SEGMENT]
                 for group in groups(parts):
                     s, m, e = own.expected([parts[i] for i in group])
                     start, moves, emit = start + s, moves + m, emit + e
@@ -268,7 +305,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", state
 
     Learns from the rows that are not held out.  A null or empty text is its end
     alone; a null id is not held out; repeated rows are learnt and scored each; an
-    empty table gives none.  Texts are scored whole, however long.
+    empty table gives none.  Texts are learnt and scored whole, however long; words that
+    are as frequent are told apart by their hashes; other columns are ignored.
     """
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).cast("binary").alias("text"))

@@ -563,3 +563,29 @@ def test_forward_equals_all_paths():
         assert math.isclose(got, math.log(p))
     starts, moves, counts = model.expected(seqs)
     assert math.isclose(starts.sum(), 3) and math.isclose(moves.sum(), 4) and math.isclose(counts.sum(), 7)
+
+
+def test_expected_counts_equal_all_paths_and_pieces():
+    import itertools
+
+    rng = np.random.default_rng(4)
+    start, move, emit = rng.dirichlet([1] * 3), rng.dirichlet([1] * 3, 3), rng.dirichlet([1] * 5, 3).T
+    model, seq = hmm.Model(start, move, emit), np.array([0, 4, 2, 1, 3, 3])
+    total, want = 0.0, (np.zeros(3), np.zeros((3, 3)), np.zeros((5, 3)))
+    for z in itertools.product(range(3), repeat=len(seq)):
+        p = start[z[0]] * emit[seq[0], z[0]] * math.prod(move[z[t - 1], z[t]] * emit[seq[t], z[t]] for t in range(1, len(seq)))
+        total += p
+        want[0][z[0]] += p
+        for t in range(len(seq)):
+            want[2][seq[t], z[t]] += p
+            if t:
+                want[1][z[t - 1], z[t]] += p
+    for got in (model.expected([seq]), model.expected_long(seq, 100), model.expected_long(seq, 2), model.expected_long(seq, 1)):
+        for g, w in zip(got, want):
+            assert np.allclose(g, w / total)
+
+
+def test_lexicon_has_no_cliff(spark):
+    words = spark.createDataFrame([(f"w{i}".encode(), 0, 7) for i in range(400)] + [(hmm.END, 0, 50)], "word binary, bin int, c long")
+    lex = hmm.lexicon(words, head=100, lookup=100)
+    assert 60 <= len(lex.index) <= 140 and lex.head <= 100 and lex.tokens == 2850
