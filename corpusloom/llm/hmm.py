@@ -32,7 +32,7 @@ STATES, ROUNDS = 8, 4
 #: Classes whose company in documents gives the states' first guess.
 ANCHORS = 128
 #: Tokens of a longer text whose recursion is held at once; the recursion itself runs through the whole text.
-SEGMENT = 8192
+SEGMENT = 100_000
 #: Words one task counts before it hands on its counts.
 HELD = 300_000
 
@@ -133,22 +133,24 @@ class Model:
         self.start, self.move, self.emit = start, move, emit
 
     def forward(self, sequences: list[np.ndarray], keep: bool = False):
-        """Natural logs of the likelihoods of sequences sorted by falling length; ``keep`` returns the recursion too."""
+        """Natural logs of the likelihoods of sequences sorted by falling length; ``keep`` returns the recursion instead of them."""
         lengths = np.array([len(s) for s in sequences])
         logs, trail, now = np.zeros(len(sequences)), [], None
         padded = np.zeros((lengths[0], len(sequences)), np.int64)
         for i, s in enumerate(sequences):
             padded[: len(s), i] = s
         alive = np.searchsorted(-lengths, -np.arange(lengths[0]), side="left")
+        each, alive = self.emit[padded] if padded.size <= 1_000_000 else None, alive.tolist()
         for t in range(lengths[0]):
             n = alive[t]
-            e = self.emit[padded[t, :n]]
+            e = each[t, :n] if each is not None else self.emit[padded[t, :n]]
             now = (self.start if t == 0 else now[:n] @ self.move) * e
             scale = now.sum(1)
             now /= scale[:, None]
-            logs[:n] += np.log(scale)
             if keep:
                 trail.append((now, scale, e))
+            else:
+                logs[:n] += np.log(scale)
         return (logs, trail, padded, alive) if keep else logs
 
     def expected(self, sequences: list[np.ndarray]):
