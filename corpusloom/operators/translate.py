@@ -8,8 +8,7 @@ only the calls of its unfinished tasks.
 
 from __future__ import annotations
 
-from abc import ABC, abstractmethod
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -17,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.paths import output_path
+from ..sources.providers import Echo, Provider, provider_factory, register, with_key  # noqa: F401  providers are registered from here too
 from .chunking import MAX_LINES, chunks
 
 TEMPLATE = """You are given part of a documentation file. Render it in {{targetLanguage}}.
@@ -31,43 +31,6 @@ _RESPONSE = "content string, model string, prompt_tokens long, completion_tokens
 _ANSWER = [("content", pa.string()), ("model", pa.string()), ("prompt_tokens", pa.int64()), ("completion_tokens", pa.int64()), ("total_tokens", pa.int64()), ("finish_reason", pa.string()), ("error", pa.string())]
 
 
-class Provider(ABC):
-    """A source of answers; made on the executor, one for each task."""
-
-    @abstractmethod
-    def chat(self, messages: list[dict], options: dict) -> dict:
-        """An answer: ``content``, and optionally ``model``, ``usage`` with three counts, ``finish_reason``."""
-
-    def stream(self, messages: list[dict], options: dict) -> Iterator[dict]:
-        yield {"content": self.chat(messages, options)["content"], "done": False}
-        yield {"content": "", "done": True}
-
-
-class Echo(Provider):
-    """Answers with the last message, word counts as tokens: for tests and dry planning."""
-
-    def __init__(self, change: Callable[[str], str] = str):
-        self.change = change
-
-    def chat(self, messages, options):
-        text = messages[-1]["content"]
-        n, m = sum(len(x["content"].split()) for x in messages), len(text.split())
-        return {"content": self.change(text), "model": options.get("model") or "echo", "usage": {"prompt_tokens": n, "completion_tokens": m, "total_tokens": n + m}, "finish_reason": "stop"}
-
-
-_FACTORIES: dict[str, Callable[[dict], Provider]] = {"echo": lambda options: Echo()}
-
-
-def register(name: str, factory: Callable[[dict], Provider]) -> None:
-    _FACTORIES[name] = factory
-
-
-def provider_factory(name: str) -> Callable[[dict], Provider]:
-    if name not in _FACTORIES:
-        raise ValueError(f"Unsupported provider: {name}. Known: {', '.join(sorted(_FACTORIES))}")
-    return _FACTORIES[name]
-
-
 def messages(content: Column, lang: Column, has_placeholders: Column, template: str | None = None, glossary_section: Column | None = None) -> Column:
     """System and user message of one chunk."""
     system = X.rendered(F.lit(template or TEMPLATE), {"targetLanguage": lang, "content": F.lit("")})
@@ -101,7 +64,7 @@ def prepared(docs: DataFrame, lang: Column, text_col: str = "text", max_lines: i
 
 def called(requests: DataFrame, provider: str = "echo", options: dict | None = None, concurrency: int | None = None) -> DataFrame:
     """``requests`` with the provider's answers; a failed call is an ``error``, not a failed task."""
-    options, make = options or {}, provider_factory(provider)
+    options, make = with_key(provider, options or {}), provider_factory(provider)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         client = make(options)

@@ -26,11 +26,14 @@ class AppError(Exception):
 
 
 def read_documents(spark: SparkSession, root: str, pattern: str = "**") -> DataFrame:
-    """``path, text`` of the files below ``root`` that match a glob, paths from ``root`` on."""
+    """``path, text`` of the files below ``root`` that match a glob, paths from ``root`` on; a relative ``root`` starts here."""
+    root = root if "://" in root else os.path.abspath(root)
     head = root.rstrip("/") + "/"
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    last = "*" if "{" in pattern else pattern.rsplit("/", 1)[-1]  # tested on listed names, before a file is opened
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*" if "**" in last else last).load(root)
     path = F.regexp_replace(F.col("path"), r"^[a-z]+:(?://)?(?=/)", "")
-    rel = F.substring_index(path, head.split("://")[-1].replace("//", "/"), -1)
+    below = head.split("://")[-1].replace("//", "/")  # the first place it stands at: its name may come again further down
+    rel = F.substr(path, F.instr(path, F.lit(below)) + len(below))
     out = found.select(rel.alias("path"), F.decode("content", "UTF-8").alias("text"))
     return out.where(F.col("path").rlike(glob_regex(pattern)))
 
