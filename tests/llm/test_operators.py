@@ -403,6 +403,28 @@ def test_line_dedup_finds_edited_lines(spark):
     assert [i for i, _, kept in rows if kept == 0 and got[i] != ""] == []
 
 
+def test_line_dedup_links_all_lines_of_few_words(spark):
+    rng = random.Random(31)
+    rows = ["alpha bravo charl", "alphx bravx charx", "onelongword" * 4, "onelongword" * 3 + "onelongwurd", "seven words of which many are edited", "sevem wurds of whixh mamy are edited"]
+    for _ in range(60):
+        line = " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 12))) for _ in range(rng.randint(1, 7)))
+        rows.append(line)
+        for _ in range(3):
+            c = [*line]
+            for _ in range(rng.randint(1, max(1, len(line) // 5))):
+                i, kind = rng.randrange(len(c)), rng.randrange(3)
+                c[i : i + (kind != 0)] = [] if kind == 1 and len(c) > 1 else [rng.choice("abcdefgh ")]
+            rows.append(" ".join("".join(c).split()) or "x")
+    rows = sorted({*rows}, key=lambda t: (len(t.split()) > 7, t))
+    nodes = spark.createDataFrame([(i, t, len(t.split()), len(t)) for i, t in enumerate(rows)], "node long, norm string, words int, chars int").cache()
+    got = {(r["a"], r["b"]) for r in lines.links(nodes).collect()}
+    other = nodes.select(*[F.col(c).alias(f"{c}2") for c in nodes.columns])
+    near = F.expr("levenshtein(norm, norm2) <= 0.2 * greatest(chars, chars2) + 1e-9 AND least(words, words2) <= 7")
+    want = {(r["node"], r["node2"]) for r in nodes.join(other, F.col("node") > F.col("node2")).where(near).collect()}
+    root = classes(len(rows), lambda i, j: (i, j) in got or (j, i) in got)
+    assert len(want) > 150 and [(rows[i], rows[j]) for i, j in want if root[i] != root[j]] == []
+
+
 def test_line_dedup_tells_rows_apart(spark):
     rows = [(None, "alpha beta gamma\nonly the first row has this"), (None, "alpha beta gamma\nanother text stands in here"), (None, "same in both rows"), (None, "same in both rows"), (5, "delta epsilon zeta\nalpha beta gamma"), (5, "delta epsilon zeta\nlines of their own remain"), (6, "delta epsilon zeta")]
     got = sorted(((r["doc_id"] or 0, r["text"]) for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
