@@ -522,6 +522,17 @@ def test_passages_between_two_later_documents(spark):
     assert got == [(11, 10, 25, 80, 80)]
 
 
+def test_passages_beyond_parts_in_other_documents(spark):
+    rng = random.Random(22)
+    w = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(n)]
+    p = w(80)
+    # parts of 40 words stand in the smallest documents and in those right before 11, so 3 is neither for any seed
+    rows = [(i, " ".join(w(30) + p[:40] + w(30))) for i in (1, 5)] + [(i, " ".join(w(30) + p[40:] + w(30))) for i in (2, 6)]
+    rows += [(3, " ".join(w(20) + p + w(20))), (11, " ".join(w(25) + p + w(25)))]
+    got = [(r["doc_id"], r["source_id"], r["start"], r["words"], r["equal"]) for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert got == [(11, 3, 25, 80, 80)]
+
+
 @pytest.mark.parametrize("size", [6, 80, 150, 2000])
 def test_passages_of_long_words_are_whole(spark, size):
     rng = random.Random(size)
