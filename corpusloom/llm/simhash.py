@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .storage import stored
+from .storage import new_path, removed, stored
 from .words import lower_words
 
 #: Fingerprints of one group that one task compares at once.
@@ -252,35 +252,54 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, similar: float)
     return met.select("a", "b", "s", "t").mapInArrow(run, "a long, b long")
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similar: float = 0.8, most: int = NEAR_BITS) -> DataFrame:
+def _ring(nodes: DataFrame, most: int) -> DataFrame:
+    """``a, b``: links that span the nodes whose SimHashes ``links`` joins; nodes of one SimHash are tied to the least of them."""
+    nodes = nodes.select("node", "fp")
+    least = nodes.groupBy("fp").agg(F.min("node").alias("least"))
+    side = lambda c: least.select(F.col("fp").alias(f"fp_{c}"), F.col("least").alias(c))
+    between = links(least.select("fp"), most).withColumnsRenamed({"a": "fp_a", "b": "fp_b"})
+    between = between.join(side("a"), "fp_a").join(side("b"), "fp_b").select("a", "b")
+    same = nodes.join(least, "fp").where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    return between.unionByName(same).distinct()
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similar: float = 0.8, most: int = NEAR_BITS, ring: int = 3) -> DataFrame:
     """``docs`` with one document of each class of copies of Jaccard similarity ``similar`` on shingles: that with the smallest id, once.
 
-    Three bits don't reach that similarity, which needs some 10 of 64, and segments
-    don't sieve for so many; candidates share one of their ``KEYS`` least shingle hashes
+    SimHashes that differ in ``ring`` bits or fewer are found by pigeonring filtering, as
+    in ``near_duplicates``, and those links are verified on their shingles.  Three bits don't
+    reach that similarity, which needs some 10 of 64, and segments
+    don't sieve for so many; so further candidates share one of their ``KEYS`` least shingle hashes
     (of two sets of similarity 0.8 all but about 0.2 ** KEYS do), differ in at most
     ``most`` bits and are verified on their shingles.  Rows without an id cannot be
     named and stay as they are.
     """
     named = docs.where(F.col(id_col).isNotNull())
-    own = stored(_sketches(named, id_col, text_col, shingle), "sketches")
+    spark = docs.sparkSession
+    at_own, at_keys, at_ring, at_parts = (new_path(spark, f"sketch-{n}") for n in ("texts", "keys", "ring", "parts"))
+    own = stored(_sketches(named, id_col, text_col, shingle), "sketches", at_own)
     nodes = own.groupBy("node").agg(F.min("doc_id").alias("least"), F.first(F.struct("fp", "n", "keys")).alias("s")).select("node", "least", "s.*")
     nodes = stored(nodes, "sketch-nodes")
     keyed = nodes.select("node", "fp", "n", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.min(F.struct("node", "fp", "n")).alias("lead"), F.count("*").alias("holders")).where("holders > 1")
-    keyed = stored(keyed.join(shared.select("key", "lead"), "key"), "sketch-keys")
-    texts = own.join(keyed.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("t").alias("t"))
+    keyed = stored(keyed.join(shared.select("key", "lead"), "key"), "sketch-keys", at_keys)
+    alike = stored(_ring(nodes, ring), "sketch-ring", at_ring)
+    asked = keyed.select("node").unionByName(alike.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
+    texts = own.join(asked, "node", "left_semi").groupBy("node").agg(F.first("t").alias("t"))
     able = (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= most) & (F.least("n", "n2") >= similar * F.greatest("n", "n2") - 1e-9)
     # every node with the first of each of its groups; then every pair that is still apart
     led = keyed.select("node", "fp", "n", *[F.col(f"lead.{c}").alias(f"{c}2") for c in ("node", "fp", "n")]).where("node <> node2").where(able)
-    led = stored(_verified(led.select(F.col("node2").alias("a"), F.col("node").alias("b")).distinct(), texts, shingle, similar), "sketch-led")
+    led = alike.unionByName(led.select(F.col("node2").alias("a"), F.col("node").alias("b"))).distinct()
+    led = stored(_verified(led, texts, shingle, similar), "sketch-led")
     part = keyed.join(components(led, "a", "b"), "node", "left").select("key", "node", "fp", "n", F.coalesce("root", "node").alias("comp"))
-    part = stored(part, "sketch-parts")
+    part = stored(part, "sketch-parts", at_parts)
     split = part.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
     part = part.join(split, "key", "left_semi")
     other = part.select("key", *[F.col(c).alias(f"{c}2") for c in ("node", "fp", "n", "comp")])
     apart = part.join(other, "key").where((F.col("node") < F.col("node2")) & (F.col("comp") != F.col("comp2")) & able)
     more = _verified(apart.select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct(), texts, shingle, similar)
     found = components(more.unionByName(led), "a", "b").withColumnRenamed("node", "b")
+    removed(spark, at_own, at_keys, at_ring, at_parts)
     rooted = nodes.select("node", "least").join(found, F.col("node") == F.col("b"), "left").select("least", F.coalesce("root", "node").alias("root"))
     kept = rooted.groupBy("root").agg(F.min("least").alias("__kept")).select("__kept").distinct()
     once = named.join(kept, F.col(id_col).cast("long") == F.col("__kept"), "left_semi").dropDuplicates([id_col])
