@@ -7,7 +7,8 @@ tables of its products with all entries, and the best are ranked again by exact
 distances of the original vectors.
 
 Vectors lie in cells, by the nearest entry of the first codebook; a query visits so
-many of its nearest cells as held the neighbours of the sample's own queries.  Codes
+many of its nearest cells as held the neighbours of the sample's own queries, and more
+until they hold a shortlist; this is one rule for tables of all sizes.  Codes
 move once, to their cell; large cells are dealt to parts.  A task holds one block of
 queries and reads one block of codes at a time, so memory is bounded by their sizes.
 """
@@ -140,14 +141,22 @@ def _encoded(vectors: DataFrame, books: Codebooks, beam: int, block: int) -> Dat
     return vectors.mapInArrow(run, "cell long, n long, ids binary, codes binary, norms binary")
 
 
-def _query_blocks(queries: DataFrame, centers: np.ndarray, visits: int, size: int, parts: DataFrame) -> DataFrame:
-    """``cell, part, qids, qvectors``: at most ``size`` queries a row, once for each part of each cell they visit."""
+def cells_of(x: np.ndarray, centers: np.ndarray, visits: int, held: np.ndarray, least: int) -> list[np.ndarray]:
+    """The cells that each row visits, nearest first: ``visits`` of them and as many more as it takes to hold ``least`` vectors besides the row's own, or all."""
+    if not len(x):
+        return []
+    cells = cells_by_distance(x, centers)
+    upto = (np.cumsum(held[cells], 1) <= least).sum(1) + 1
+    return [c[: max(visits, n)] for c, n in zip(cells.astype(np.int64), upto)]
+
+
+def _query_blocks(queries: DataFrame, centers: np.ndarray, visits: int, held: np.ndarray, least: int, size: int, parts: DataFrame) -> DataFrame:
+    """``cell, part, qids, qvectors``: at most ``size`` queries a row, once for each part of each cell they visit (``cells_of``)."""
 
     def visited(batches):
         for batch in batches:
-            x = _matrix(batch.column(1))
-            cells = cells_by_distance(x, centers)[:, :visits] if len(x) else np.zeros((0, 1), np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(cells.astype(np.int64)), pa.list_(pa.int64()))], ["id", "vector", "cells"])
+            cells = cells_of(_matrix(batch.column(1)), centers, visits, held, least)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells, pa.list_(pa.int64()))], ["id", "vector", "cells"])
 
     def packed(batches):
         key, ids, vectors = None, [], []
@@ -244,8 +253,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
     null or non-finite components, rows without an id, and arrays of another length
     than most take no part (of lengths as frequent the least counts).  Ids that repeat
     count once, by the vector of the least hash.  Other columns, whatever their names,
-    are ignored.  Empty tables give no rows; with fewer candidates than ``k`` in the
-    visited cells all of these are returned.  Codebooks and the number of cells to visit
+    are ignored.  Empty tables give no rows; with fewer candidates than ``k`` all are
+    returned.  Codebooks and the number of cells to visit
     are fitted on at most ``sample`` rows; everything else covers all.
     """
     spark = vectors.sparkSession
@@ -263,12 +272,14 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
     fitted = np.array([r["vector"] for r in rows], np.float64)
     books = Codebooks.fitted(fitted, codebooks, entries)
     centers = books.books[0]
-    # few rows need few cells, so that those visited hold enough candidates
-    visits = len(centers) if facts["count"] <= 4 * shortlist else cells_to_visit(fitted, centers, k)
+    visits = cells_to_visit(fitted, centers, k)
     own, asked = _once(own), _once(asked)
     coded = stored(_encoded(own, books, beam, block), "codes")
-    parts = stored(coded.groupBy("cell").agg(F.ceil(F.sum("n") / part).cast("long").alias("parts")), "cells")  # a row a cell
-    tables = _query_blocks(asked, centers, visits, query_block, parts)
+    cells = stored(coded.groupBy("cell").agg(F.sum("n").alias("n"), F.ceil(F.sum("n") / part).cast("long").alias("parts")), "cells")  # a row a cell
+    held, parts = np.zeros(len(centers), np.int64), cells.select("cell", "parts")
+    for r in cells.collect():
+        held[r["cell"]] = r["n"]
+    tables = _query_blocks(asked, centers, visits, held, shortlist, query_block, parts)
     dealt = coded.join(parts, "cell").withColumn("part", F.pmod(F.xxhash64("ids"), F.col("parts"))).select("cell", "part", "ids", "codes", "norms")
     met = tables.join(dealt, ["cell", "part"])
     found = met.mapInArrow(_scored(books, shortlist, block), "query_id long, vec_id long, approx float")

@@ -359,6 +359,24 @@ def test_nearest_neighbours_recall(spark):
     assert [r["rank"] for r in sorted(few)] == [1, 2, 3] and additive.search(df.where("vec_id < 0"), df).count() == 0
 
 
+def test_nearest_neighbours_visit_cells_by_one_rule(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    centers, held = rng.normal(size=(8, 4)), np.array([3, 0, 5, 1, 2, 9, 4, 6])
+    for visits in (1, 3, 8):
+        for least in (1, 4, 12, 1000):
+            for row, cells in zip((x := rng.normal(size=(20, 4))), additive.cells_of(x, centers, visits, held, least)):
+                order = np.argsort(((centers - row) ** 2).sum(1)).tolist()
+                n = next((n for n in range(visits, 8) if sum(held[order[:n]]) > least), 8)
+                assert cells.tolist() == order[:n]
+    # 900 rows were below a limit under which every cell was visited
+    asked, real = [], additive.cells_to_visit
+    monkeypatch.setattr(additive, "cells_to_visit", lambda *a: asked.append(real(*a)) or 1)
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(rng.normal(size=(900, 8)))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = additive.search(df, df.where("vec_id % 100 = 0"), codebooks=4, entries=32, shortlist=300).collect()
+    assert len(asked) == 1 and len(out) == 90
+
+
 def test_nearest_neighbours_recall_on_embeddings(spark):
     table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     rows = [r for r in table.collect() if r["embedding"] is not None and all(v is not None and np.isfinite(v) for v in r["embedding"]) and any(r["embedding"])]
