@@ -2,15 +2,17 @@
 
 import math
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from corpusloom.llm import additive, components, crc, hmm, htmltext, line_prints, lines, mixing, packing, passages, quality, quality_counts, simhash, store, tokens
+from corpusloom.llm import additive, components, crc, hmm, htmltext, line_prints, lines, mixing, packing, passages, quality, quality_counts, simhash, storage, store, tokens
 from corpusloom.llm import queries as llm_queries
 from corpusloom.llm.storage import new_path
 from tests.oracle import connect, differences
@@ -443,6 +445,30 @@ def test_line_dedup_links_all_lines_of_few_words(spark):
     assert len(want) > 150 and [(rows[i], rows[j]) for i, j in want if root[i] != root[j]] == []
 
 
+def test_line_runs_are_made_of_lines_of_few_words_only(spark, monkeypatch):
+    rng, made = random.Random(8), []
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 6)))
+    rows = [" ".join(word() for _ in range(n)) for n in [7] * 4 + [8, 9, 10] * 40]
+    nodes = spark.createDataFrame([(i, t, len(t.split()), len(t)) for i, t in enumerate(rows)], "node long, norm string, words int, chars int").cache()
+    for name in [n for n in ("runs", "runs_of_longer") if hasattr(line_prints, n)]:
+        whole = getattr(line_prints, name)
+        monkeypatch.setattr(line_prints, name, lambda df, similar, whole=whole: made.append(whole(df, similar)) or made[-1])
+    none = spark.createDataFrame([], "node long, root long")
+    line_prints.few_words_pairs(nodes, none, 0.8).count()
+    assert made and all(m.where("words > 7").isEmpty() for m in made)
+
+
+def test_stored_tables_leave_no_shuffle_files(spark, tmp_path):
+    kept = lambda: {p.name for p in Path(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getFile("x").toString()).parents[1].rglob("shuffle_*.data")}
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was, before = spark.conf.get(name), kept()
+    got = storage.stored(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "few", f"file://{tmp_path}/few")
+    until = time.time() + 10
+    while kept() - before and time.time() < until:
+        time.sleep(0.2)
+    assert kept() - before == set() and spark.conf.get(name) == was and got.count() == 7
+
+
 def test_line_dedup_tells_rows_apart(spark):
     rows = [(None, "alpha beta gamma\nonly the first row has this"), (None, "alpha beta gamma\nanother text stands in here"), (None, "same in both rows"), (None, "same in both rows"), (5, "delta epsilon zeta\nalpha beta gamma"), (5, "delta epsilon zeta\nlines of their own remain"), (6, "delta epsilon zeta")]
     got = sorted(((r["doc_id"] or 0, r["text"]) for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
