@@ -27,6 +27,8 @@ from .storage import stored
 SAMPLE, ASKED = 32_768, 512
 #: Share of the sample's neighbours whose cells must be visited, and how many more cells are.
 FOUND, MORE = 0.98, 1.25
+#: Scores that a task holds for its queries before it gives them out.
+HELD = 8_000_000
 
 
 def usable(vector: Column) -> Column:
@@ -204,18 +206,49 @@ class _Shortlists:
             score, all_ids = np.take_along_axis(score, best, 1), np.take_along_axis(all_ids, best, 1)
         self.scores, self.ids = score, all_ids
 
+
+class _Found:
+    """The best codes of each query over all cells that a task has read, ties to smaller ids."""
+
+    def __init__(self, short: int):
+        self.short, self.count, self.best = short, 0, {}
+
+    def add(self, block: _Shortlists):
+        for q, ids, scores in zip(block.asked.tolist(), block.ids, block.scores):
+            ok = np.isfinite(scores)
+            own = self.best.setdefault(q, [])
+            own.append((ids[ok], scores[ok]))
+            self.count += len(own[-1][0])
+            if sum(len(i) for i, _ in own) >= 4 * self.short:
+                self.best[q] = [self._least(q)]
+
+    def _least(self, q: int):
+        ids, scores = (np.concatenate(c) for c in zip(*self.best[q]))
+        if len(ids) > self.short:
+            self.count -= len(ids) - self.short
+            first = np.lexsort((ids, scores))[: self.short]
+            ids, scores = ids[first], scores[first]
+        return ids, scores
+
     def rows(self):
-        for at in range(0, len(self.asked), 64):
-            ok = np.isfinite(self.scores[at : at + 64])
-            q = np.repeat(self.asked[at : at + 64, None], ok.shape[1], 1)[ok]
-            yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(self.ids[at : at + 64][ok]), pa.array(self.scores[at : at + 64][ok])], ["query_id", "vec_id", "approx"])
+        """All that is held, which is then forgotten."""
+        asked = list(self.best)
+        for at in range(0, len(asked), 64):
+            found = [self._least(q) for q in asked[at : at + 64]]
+            q = np.repeat(np.array(asked[at : at + 64], np.int64), [len(i) for i, _ in found])
+            yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(np.concatenate([i for i, _ in found])), pa.array(np.concatenate([x for _, x in found]))], ["query_id", "vec_id", "approx"])
+        self.count, self.best = 0, {}
 
 
 def _scored(books: Codebooks, short: int, block: int):
-    """Blocks of queries against blocks of codes; rows that follow each other with the same queries share a shortlist, and their codes are scored together."""
+    """Blocks of queries against blocks of codes; rows that follow each other with the same queries share a shortlist, and their codes are scored together.
+
+    A task gives out one shortlist a query, of all the cells that it reads; only where its queries'
+    scores exceed ``HELD`` are they given out before.
+    """
 
     def run(batches):
-        now, held, count = None, [], 0
+        now, held, count, found = None, [], 0, _Found(short)
 
         def add():
             ids = np.concatenate([np.frombuffer(h[0], "<i8") for h in held])
@@ -230,7 +263,9 @@ def _scored(books: Codebooks, short: int, block: int):
                     if now is not None:
                         if held:
                             add()
-                        yield from now.rows()
+                        found.add(now)
+                        if found.count > HELD:
+                            yield from found.rows()
                     now, count = _Shortlists(books, short, row["qids"], row["qvectors"]), 0
                 held.append((row["ids"], row["codes"], row["norms"]))
                 count += len(row["ids"]) // 8
@@ -240,7 +275,8 @@ def _scored(books: Codebooks, short: int, block: int):
         if now is not None:
             if held:
                 add()
-            yield from now.rows()
+            found.add(now)
+            yield from found.rows()
 
     return run
 

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -379,6 +380,32 @@ def test_nearest_neighbours_visit_cells_by_one_rule(spark, monkeypatch):
     assert len(asked) == 1 and len(out) == 90
 
 
+@pytest.mark.parametrize("most", [additive.SAMPLE, 50])
+def test_nearest_neighbours_leave_a_task_once_a_query(monkeypatch, most):
+    rng, short = np.random.default_rng(4), 20
+    monkeypatch.setattr(additive, "HELD", most, raising=False)
+    books = additive.Codebooks(rng.normal(size=(2, 8, 4)))
+    x, rows, scores = rng.normal(size=(3, 4)), [], defaultdict(list)
+    for cell in range(30):
+        # cells differ in the queries that visit them, and hold copies
+        asked = [q for q in range(3) if (cell + q) % 3]
+        ids, codes, norms = np.arange(cell * 15, cell * 15 + 15), rng.integers(0, 8, (15, 2)), rng.integers(0, 3, 15).astype("<f4")
+        codes[5:9] = codes[5]
+        norms[5:9] = 0
+        rows.append([np.array(asked, "<i8").tobytes(), x[asked].astype("<f8").tobytes(), ids.astype("<i8").tobytes(), codes.astype("<u2").tobytes(), norms.tobytes()])
+        for q in asked:
+            tables = (-2 * x[q] @ books.flat.T).astype(np.float32).reshape(2, 8)
+            scores[q] += [(norms[i] + tables[0, codes[i, 0]] + tables[1, codes[i, 1]], int(ids[i])) for i in range(15) if ids[i] != q]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*rows)], ["qids", "qvectors", "ids", "codes", "norms"])
+    got = defaultdict(list)
+    for out in additive._scored(books, short, 64)([batch]):
+        for q, i, s in zip(*[c.to_pylist() for c in out.columns]):
+            got[q].append((s, i))
+    for q in range(3):
+        assert [i for _, i in sorted(got[q])[:short]] == [i for _, i in sorted(scores[q])[:short]]
+        assert most == 50 or len(got[q]) == short
+
+
 def test_nearest_neighbours_recall_on_embeddings(spark):
     table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     rows = [r for r in table.collect() if r["embedding"] is not None and all(v is not None and np.isfinite(v) for v in r["embedding"]) and any(r["embedding"])]
