@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
+from .components import components, joined_components
 from .storage import new_path, removed, stored
 from .words import lower_words
 
@@ -291,14 +291,15 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     led = keyed.select("node", "fp", "n", *[F.col(f"lead.{c}").alias(f"{c}2") for c in ("node", "fp", "n")]).where("node <> node2").where(able)
     led = alike.unionByName(led.select(F.col("node2").alias("a"), F.col("node").alias("b"))).distinct()
     led = stored(_verified(led, texts, shingle, similar), "sketch-led")
-    part = keyed.join(components(led, "a", "b"), "node", "left").select("key", "node", "fp", "n", F.coalesce("root", "node").alias("comp"))
+    classes = components(led, "a", "b")
+    part = keyed.join(classes, "node", "left").select("key", "node", "fp", "n", F.coalesce("root", "node").alias("comp"))
     part = stored(part, "sketch-parts", at_parts)
     split = part.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
     part = part.join(split, "key", "left_semi")
     other = part.select("key", *[F.col(c).alias(f"{c}2") for c in ("node", "fp", "n", "comp")])
     apart = part.join(other, "key").where((F.col("node") < F.col("node2")) & (F.col("comp") != F.col("comp2")) & able)
     more = _verified(apart.select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct(), texts, shingle, similar)
-    found = components(more.unionByName(led), "a", "b").withColumnRenamed("node", "b")
+    found = joined_components(classes, more, "a", "b").withColumnRenamed("node", "b")
     removed(spark, at_own, at_keys, at_ring, at_parts)
     rooted = nodes.select("node", "least").join(found, F.col("node") == F.col("b"), "left").select("least", F.coalesce("root", "node").alias("root"))
     kept = rooted.groupBy("root").agg(F.min("least").alias("__kept")).select("__kept").distinct()

@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import time
 import zlib
 from collections import Counter, defaultdict
@@ -64,6 +65,30 @@ def test_components(spark):
     assert got == {2: 1, 3: 1, 9: 8, 20: -4, 30: -4, 40: -4, 50: -4}
 
 
+def test_joined_components_step_over_joined_classes_only(spark, monkeypatch):
+    rng, stepped, steps = random.Random(4), [], components.components
+    first = [(rng.randrange(300), rng.randrange(300)) for _ in range(150)]
+    then = [(rng.randrange(-5, 310), rng.randrange(-5, 310)) for _ in range(12)]
+    frame = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    known = steps(frame(first), "a", "b")
+    monkeypatch.setattr(components, "components", lambda edges, a, b: stepped.append(edges.count()) or steps(edges, a, b))
+    got = dict(components.joined_components(known, frame(then), "a", "b").collect())
+    assert got == dict(steps(frame(first + then), "a", "b").collect()) and stepped == [12]
+
+
+def test_driver_gives_freed_memory_back(spark):
+    def arenas():
+        jvm = spark.sparkContext._jvm.java.lang.ProcessHandle.current().pid()
+        return int(re.search(r"VmRSS:\s+(\d+)", Path(f"/proc/{jvm}/status").read_text())[1])
+
+    malloc = spark.sparkContext._jvm.java.util.zip.Deflater
+    held = [malloc() for _ in range(400)]  # some 250 kB each outside the heap
+    for d in held:
+        d.end()
+    before = arenas()
+    assert storage.trimmed(spark) and arenas() < before
+
+
 def test_tokens_equal_whole_texts():
     e = tokens.encoder(tokens.default_tokenizer())
     odd = ["İstanbul ΑΣ ς é a b　x \x1c y <|endoftext|>z '’s I'LL 12½", "", " \n", "é ́x ŉ ﬁ a b"]
