@@ -657,6 +657,19 @@ def test_passages_of_hot_and_other_seeds_are_the_same(spark, monkeypatch):
     assert {r[0] for r in found[0]} == {i for i in range(40) if i % 3} - {1}
 
 
+def test_seeds_in_common_are_dealt_from_the_smaller_document(spark, monkeypatch):
+    rng, kept, whole = random.Random(6), {}, passages.stored
+    held = {d: [rng.randrange(40) for _ in range(200 if d in (0, 30) else rng.randint(1, 6))] for d in range(31)}
+    rows = [(h, d, 0, False, i, 2 * i, i % 3, i % 5) for d, hs in held.items() for i, h in enumerate(hs)]
+    shared = spark.createDataFrame(rows, "h long, doc long, other long, hot boolean, pos int, off int, lo int, hi int")
+    pairs = [(30, d) for d in range(30)] + [(d, 0) for d in range(1, 30)]
+    monkeypatch.setattr(passages, "stored", lambda df, name, *a: kept.setdefault(name, whole(df, name, *a)))
+    got = sorted((r["doc"], r["other"], r["pos"], r["o"]["pos"]) for r in passages._in_common(spark.createDataFrame(pairs, "doc long, other long"), shared).collect())
+    assert got == sorted((d, o, i, held[o].index(h)) for d, o in pairs for i, h in enumerate(held[d]) if h in held[o])
+    dealt = sum(len(held[r["doc"] if r["fewer"] else r["other"]]) for r in kept["pairs"].collect())
+    assert dealt == sum(min(len(held[d]), len(held[o])) for d, o in pairs) < 600
+
+
 def test_chain_prefers_collinear_anchors():
     anchors = [(0, 100, 10), (12, 112, 10), (15, 500, 8), (24, 124, 10), (400, 130, 9)]
     best = passages.chains(anchors)[0]
