@@ -510,6 +510,23 @@ def test_line_runs_are_made_of_lines_of_few_words_only(spark, monkeypatch):
     assert made and all(m.where("words > 7").isEmpty() for m in made)
 
 
+def test_lines_texts_are_taken_from_lines_that_share_a_key(spark, monkeypatch):
+    rng, seen, whole = random.Random(9), {}, lines.stored
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 8)))
+    rows = [" ".join(word() for _ in range(40)) for _ in range(50)]
+    rows += [" ".join([*r.split()[:-1], "edited"]) for r in rows[:5]]
+    nodes = spark.createDataFrame([(i, t, len(t.split()), len(t)) for i, t in enumerate(rows)], "node long, norm string, words int, chars int").cache()
+
+    def watched(df, name, *a):
+        out = whole(df, name, *a)
+        seen[name] = out.count()
+        return out
+
+    monkeypatch.setattr(lines, "stored", watched)
+    got = {tuple(sorted((r["a"], r["b"]))) for r in lines.links(nodes).collect()}
+    assert got == {(i, 50 + i) for i in range(5)} and seen["line-keyed-texts"] == seen["led-texts"] == 10
+
+
 def test_stored_tables_leave_no_shuffle_files(spark, tmp_path):
     kept = lambda: {p.name for p in Path(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getFile("x").toString()).parents[1].rglob("shuffle_*.data")}
     name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
