@@ -17,7 +17,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components, joined_components
@@ -263,6 +263,32 @@ def _ring(nodes: DataFrame, most: int) -> DataFrame:
     return between.unionByName(same).distinct()
 
 
+def _rarest(nodes: DataFrame, texts: DataFrame, shingle: int, similar: float) -> DataFrame:
+    """``nodes`` (with ``node, n``) by ``h``, their rarest shingle hashes among them, with ``at``, its place from the rarest on.
+
+    Of sets ordered alike, two of a similarity of ``similar`` share one of the first ``n - similar * n + 1``
+    hashes of each.  Rarest first, a passage that many sets have comes last.  Hashes of one set only are left out.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for node, t in zip(batch.column(0), batch.column(1)):
+                each = np.unique(np.array([xxhash.xxh64_intdigest(s, 42) for s in _shingles(lower_words(t.as_py()), shingle)], np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(each), node.as_py(), np.int64)), pa.array(each.view(np.int64))], ["node", "h"])
+
+    spark = nodes.sparkSession
+    path = new_path(spark, "sketch-hashes")
+    each = stored(texts.join(nodes.select("node"), "node", "left_semi").select("node", "t").mapInArrow(run, "node long, h long"), "sketch-hashes", path)
+    several = each.groupBy("h").agg(F.count("*").alias("holders")).where("holders > 1")
+    own = Window.partitionBy("node")
+    shared = each.join(several, "h").withColumn("i", F.row_number().over(own.orderBy("holders", "h"))).withColumn("of", F.count("*").over(own))
+    # hashes of one set only come before all these
+    first = shared.join(nodes, "node").withColumn("at", F.col("n") - F.col("of") + F.col("i") - 1).where(F.col("at") <= F.col("n") - F.ceil(similar * F.col("n") - 1e-9))
+    first = stored(first.select("h", "at", *nodes.columns), "sketch-rarest")
+    removed(spark, path)
+    return first
+
+
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similar: float = 0.8, most: int = NEAR_BITS, ring: int = 3) -> DataFrame:
     """``docs`` with one document of each class of copies of Jaccard similarity ``similar`` on shingles: that with the smallest id, once.
 
@@ -271,8 +297,9 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     reach that similarity, which needs some 10 of 64, and segments
     don't sieve for so many; so further candidates share one of their ``KEYS`` least shingle hashes
     (of two sets of similarity 0.8 all but about 0.2 ** KEYS do), differ in at most
-    ``most`` bits and are verified on their shingles.  Rows without an id cannot be
-    named and stay as they are.
+    ``most`` bits and are verified on their shingles.  Sets that share a hash and are apart after
+    a first search meet by their rarest hashes, so a passage in many documents makes no pairs of all of them.
+    Rows without an id cannot be named and stay as they are.
     """
     named = docs.where(F.col(id_col).isNotNull())
     spark = docs.sparkSession
@@ -287,7 +314,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     asked = keyed.select("node").unionByName(alike.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
     texts = own.join(asked, "node", "left_semi").groupBy("node").agg(F.first("t").alias("t"))
     able = (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= most) & (F.least("n", "n2") >= similar * F.greatest("n", "n2") - 1e-9)
-    # every node with the first of each of its groups; then every pair that is still apart
+    # every node with the first of each of its groups; then every pair that is still apart and shares one of its rarest hashes
     led = keyed.select("node", "fp", "n", *[F.col(f"lead.{c}").alias(f"{c}2") for c in ("node", "fp", "n")]).where("node <> node2").where(able)
     led = alike.unionByName(led.select(F.col("node2").alias("a"), F.col("node").alias("b"))).distinct()
     led = stored(_verified(led, texts, shingle, similar), "sketch-led")
@@ -295,9 +322,12 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     part = keyed.join(classes, "node", "left").select("key", "node", "fp", "n", F.coalesce("root", "node").alias("comp"))
     part = stored(part, "sketch-parts", at_parts)
     split = part.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
-    part = part.join(split, "key", "left_semi")
-    other = part.select("key", *[F.col(c).alias(f"{c}2") for c in ("node", "fp", "n", "comp")])
-    apart = part.join(other, "key").where((F.col("node") < F.col("node2")) & (F.col("comp") != F.col("comp2")) & able)
+    part = part.join(split, "key", "left_semi").select("node", "fp", "n", "comp").distinct()
+    part = _rarest(part, texts, shingle, similar)
+    other = part.select("h", *[F.col(c).alias(f"{c}2") for c in ("at", "node", "fp", "n", "comp")])
+    # at the first hash in common those from there on are all that two sets may share
+    enough = F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2")) >= similar / (1 + similar) * (F.col("n") + F.col("n2")) - 1e-9
+    apart = part.join(other, "h").where((F.col("node") < F.col("node2")) & (F.col("comp") != F.col("comp2")) & enough & able)
     more = _verified(apart.select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct(), texts, shingle, similar)
     found = joined_components(classes, more, "a", "b").withColumnRenamed("node", "b")
     removed(spark, at_own, at_keys, at_ring, at_parts)
