@@ -527,6 +527,32 @@ def test_lines_texts_are_taken_from_lines_that_share_a_key(spark, monkeypatch):
     assert got == {(i, 50 + i) for i in range(5)} and seen["line-keyed-texts"] == seen["led-texts"] == 10
 
 
+def test_similar_texts_equal_whole_distances(spark):
+    rng = random.Random(33)
+    rows = [("a", "ab"), ("ab", "b"), ("abab", "ab"), ("aaaaaa", "aaaaa"), ("aaaaa", "aaaaaa"), ("é b é b é", "é b é b"), ("x", "x")]
+    for _ in range(400):
+        text = [rng.choice("abé𝛼 ") for _ in range(rng.randint(1, 80))]
+        copy = [*text]
+        for _ in range(rng.randint(0, 1 + len(text) // 4)):
+            at = rng.randrange(len(copy) + 1)
+            copy[at : at + rng.randint(0, 2)] = [rng.choice("abé𝛼 ") for _ in range(rng.randint(0, 2))]
+        rows.append(("".join(text), "".join(copy) or "a"))
+    got = spark.createDataFrame(rows, "x string, y string").select(lines.similar_texts("x", "y").alias("got"), F.expr("levenshtein(x, y) <= floor(0.2 * greatest(length(x), length(y)) + 1e-9)").alias("want"))
+    got = got.collect()
+    assert all(r["got"] == r["want"] for r in got) and 50 < sum(r["want"] for r in got) < len(got) - 50
+
+
+def test_similar_texts_compare_what_differs_only(spark):
+    rng = random.Random(34)
+    text = "".join(rng.choice("abcdefgh") for _ in range(20_000))
+    rows = [(text, text[:at] + "x" * 400 + text[at:]) for at in range(2000, 20_000, 2000)]
+    pairs = spark.createDataFrame(rows, "x string, y string").coalesce(1)
+    began = time.monotonic()
+    assert pairs.where(lines.similar_texts("x", "y")).count() == len(rows)
+    # whole texts of this length are some 160 million cells a pair
+    assert time.monotonic() - began < 15
+
+
 def test_stored_tables_leave_no_shuffle_files(spark, tmp_path):
     kept = lambda: {p.name for p in Path(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getFile("x").toString()).parents[1].rglob("shuffle_*.data")}
     name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
