@@ -48,14 +48,16 @@ def split_system(history: Column, assistant: str = "assistant") -> Column:
     return F.struct(first.alias("system"), rest.alias("messages"))
 
 
-def prepared(docs: DataFrame, lang: Column, text_col: str = "text", max_lines: int = MAX_LINES, template: str | None = None, glossary_section: Column | None = None) -> DataFrame:
+def prepared(docs: DataFrame, lang: Column, text_col: str = "text", max_lines: int = MAX_LINES, template: str | None = None, glossary_section: Column | None = None, keep_blank: bool = False) -> DataFrame:
     """One row a chunk: ``row, doc_id, target_lang, frontmatter, entries, chunk_no, n_chunks, messages, error``.
 
-    A null or blank text has one row with an error and no messages.  ``row`` numbers the
-    rows of ``docs``, so that rows which repeat an id stay apart.
+    A null or blank text has one row with an error and no messages.  With ``keep_blank`` only a null
+    text has; a blank one is asked for as it is, and has no row if it is longer than a chunk, since
+    blank chunks are dropped.  ``row`` numbers the rows of ``docs``, so that rows which repeat an id stay apart.
     """
     t = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", lang.alias("target_lang"), X.unix_lines(F.col(text_col)).alias("t"))
-    t = t.select("row", "doc_id", "target_lang", X.frontmatter(F.col("t")).alias("frontmatter"), X.protect(X.body(F.col("t"))).alias("p"), (F.col("t").isNull() | X.is_blank(F.coalesce("t", F.lit("")))).alias("blank"))
+    blank = F.col("t").isNull() if keep_blank else F.col("t").isNull() | X.is_blank(F.coalesce("t", F.lit("")))
+    t = t.select("row", "doc_id", "target_lang", X.frontmatter(F.col("t")).alias("frontmatter"), X.protect(X.body(F.col("t"))).alias("p"), blank.alias("blank"))
     t = t.withColumn("chunks", F.when(F.col("blank"), F.array(F.lit(None).cast("string"))).otherwise(chunks(F.col("p.text"), max_lines)))
     t = t.select("row", "doc_id", "target_lang", "frontmatter", F.coalesce("p.entries", F.array().cast("array<struct<placeholder:string,original:string>>")).alias("entries"), "blank", F.size("chunks").alias("n_chunks"), F.posexplode_outer("chunks").alias("chunk_no", "chunk"))  # the outer form lets no test of the array's size reach the scan
     asked = messages(F.col("chunk"), F.col("target_lang"), F.size("entries") > 0, template, glossary_section)
